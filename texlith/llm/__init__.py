@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from texlith.llm import html_text, language_id, packing, token_counts
+from texlith.llm import html_text, language_id, language_model, packing, shingle_join, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": language_model.query,
         "op2_best_fit_packing": packing.query,
         "op4_token_counts": token_counts.query,
         "op6_language_id": language_id.query,
         "op7_html_extraction": html_text.query,
+        "op10_ngram_jaccard_join": shingle_join.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_ngram_jaccard_join": shingle_join.ORACLE}
