@@ -59,6 +59,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, divisor: int = DIVI
 
     A null text stays null with 0 lines. Rows equal in doc_id and text share one fate. A text whose lines all went is
     ''. Chunks of fewer than `min_words` words are left alone. Other columns aren't read. An empty table gives no rows.
+    What repeats has no size bound, so that all joins are merge joins, at any size; AQE splits a hot chunk's rows.
     """
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     whole = chunked(keyed, divisor, long_words)
@@ -68,12 +69,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, divisor: int = DIVI
     each = each.select("key", "who", "place", "c.chunk", F.xxhash64("c.chunk").alias("h")).where(F.when(F.expr("c.n_lines") > 1, words >= min_words).otherwise(words > long_words))
     first = F.min(F.struct("who", "place")).alias("first")
     often = written(each.groupBy("h").agg(F.count("*").alias("n"), first).where("n > 1").select("h", F.col("first.who.key").alias("first_key"), F.col("first.place").alias("first_place")))
-    met = each.join(often, "h").select("h", "key", "place", "chunk", ((F.col("key") == F.col("first_key")) & (F.col("place") == F.col("first_place"))).alias("is_first"))
+    met = each.join(often.hint("merge"), "h").select("h", "key", "place", "chunk", ((F.col("key") == F.col("first_key")) & (F.col("place") == F.col("first_place"))).alias("is_first"))
     met = written(met)
     kept = met.where("is_first").select("h", F.col("chunk").alias("kept")).dropDuplicates(["h"])
-    same = met.where("not is_first").join(kept, "h").where(F.col("chunk").cast("binary") == F.col("kept").cast("binary"))
+    same = met.where("not is_first").join(kept.hint("merge"), "h").where(F.col("chunk").cast("binary") == F.col("kept").cast("binary"))
     gone = written(same.groupBy("key").agg(F.collect_set("place").alias("gone")))
-    out = whole.join(gone, "key", "left")
+    out = whole.join(gone.hint("merge"), "key", "left")
     out = _apart(out, gone=F.coalesce("gone", F.array().cast("array<int>")))
     left = F.filter("chunks", lambda c, i: ~F.array_contains("gone", i))
     out = _apart(out, left=left)
@@ -90,7 +91,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated chunks removed from text, all other columns as they are; a row whose text was emptied goes."""
     done = dedup_lines(docs).select(F.col("key").alias("_key"), F.col("text").alias("_new"), "n_removed").where("n_removed > 0").dropDuplicates(["_key"])
     keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(done, keyed["_row_key"] == done["_key"], "left")
+    joined = keyed.join(done.hint("merge"), keyed["_row_key"] == done["_key"], "left")
     text = F.when(F.col("_key").isNotNull(), F.col("_new")).otherwise(F.col("text")).alias("text")
     left = joined.where(F.col("_key").isNull() | (F.col("_new") != ""))
     return left.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns])
