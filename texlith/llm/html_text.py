@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from texlith.llm._common import written
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -149,7 +151,10 @@ def _content(root: _Node) -> list[_Node]:
 def extract(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The text of a page without the template subtrees: blocks joined by a line end."""
     root = parse(page)
-    hashes = _subtrees(root) if template else {}
+    return _text(root, _subtrees(root) if template else {}, template)
+
+
+def _text(root: _Node, hashes: dict[int, int], template: frozenset[int] | set[int]) -> str:
     blocks: list[str] = []
     held: list[str] = []
 
@@ -201,16 +206,16 @@ def extract_pages(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1,
                 host = _host(url)
                 root = parse(page or "")
                 subtrees = _subtrees(root)
-                whole = hashlib.blake2b("\0".join(x for x in [extract(page or "")]).encode("utf-8", "replace"), digest_size=8).digest()
+                whole = hashlib.blake2b(_text(root, {}, frozenset()).encode("utf-8", "replace"), digest_size=8).digest()
                 out.append((host, int.from_bytes(whole, "little", signed=True), list(set(subtrees.values()))))
             yield pd.DataFrame(out, columns=["host", "page", "subtrees"])
 
     seen = pages.select("url", "html").mapInPandas(hashed, "host string, page long, subtrees array<long>")
     # The page itself stands among its subtrees as null: its count is the host's number of different pages.
     each = seen.select("host", "page", F.explode(F.concat(F.array(F.lit(None).cast("long")), "subtrees")).alias("subtree")).distinct()
-    counts = each.groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    counts = written(each.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("subtree").isNull() | (F.col("n") >= min_pages)))
     sizes = counts.where(F.col("subtree").isNull()).select("host", F.col("n").alias("size"))
-    often = counts.where(F.col("subtree").isNotNull() & (F.col("n") >= min_pages)).join(sizes, "host").where(F.col("n") >= min_share * F.col("size"))
+    often = counts.where(F.col("subtree").isNotNull()).join(sizes, "host").where(F.col("n") >= min_share * F.col("size"))
     template = often.groupBy("host").agg(F.collect_list("subtree").alias("template"))
     salted = template.select("host", "template", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
 
