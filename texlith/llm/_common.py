@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -39,14 +40,22 @@ def local_path(path: str) -> str | None:
     return path if path.startswith("/") else None
 
 
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
+def written(df: DataFrame, compression: str = "zstd", path: str | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage and survives a lost executor."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    spark, path = df.sparkSession, path or shared_folder(df.sparkSession)
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def held(df: DataFrame, compression: str = "zstd") -> Iterator[DataFrame]:
+    """The rows as such a table for the time of the block."""
+    path = shared_folder(df.sparkSession)
+    yield written(df, compression, path)
+    remove(df.sparkSession, path)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -132,11 +141,11 @@ def summed(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], np.ndarray
     """
 
     def packed(chunk: int, a: np.ndarray) -> pd.DataFrame:
-        small = a.astype(np.uint32 if a.max(initial=0) < 2**32 else np.int64)
-        return pd.DataFrame({"chunk": [chunk], "wide": [small.dtype == np.int64], "cells": [small.tobytes()]})
+        small = a.astype(np.min_scalar_type(int(a.max(initial=0))))
+        return pd.DataFrame({"chunk": [chunk], "kind": [small.dtype.str], "cells": [small.tobytes()]})
 
     def unpacked(row) -> np.ndarray:
-        return np.frombuffer(row.cells, np.int64 if row.wide else np.uint32).astype(np.int64)
+        return np.frombuffer(row.cells, row.kind).astype(np.int64)
 
     def emit(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = partial(rows)
@@ -152,7 +161,7 @@ def summed(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], np.ndarray
         for chunk, a in held.items():
             yield packed(chunk, a)
 
-    kind = "chunk int, wide boolean, cells binary"
+    kind = "chunk int, kind string, cells binary"
     total = np.zeros(cells, np.int64)
     for row in df.mapInPandas(emit, kind).repartition(-(-cells // step), "chunk").mapInPandas(add, kind).collect():
         a = unpacked(row)

@@ -5,9 +5,11 @@ fixed size over all documents), rare ones first. A set is indexed by a prefix in
 are, frequent ones by combinations of two within sub-classes of the shingle space; the prefix is extended until the
 combinations cover as many shingles as two similar sets can differ in, so that any two linked sets share a signature.
 
-Sets that share a signature aren't paired with each other: first each is compared with one pivot of its signature,
-and links form components; then only sets that share a signature and are still in different components are compared.
-No link between components remains, and a group of n near copies takes about n comparisons a pivot.
+Sets that share a signature aren't paired with each other: in two rounds each is compared with one pivot, that of most
+of its signatures, and links form components; then only sets that share a signature and are still in different
+components are compared. No link between components remains, and a group of n near copies takes about n comparisons.
+A pair is first held against an upper bound from bitmaps of the parity of hashed shingles (their Hamming distance is
+at most the sets' symmetric difference, so that no link is lost), and then verified by whole sets.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texlith.llm._common import as_bytes, mixed, slices, summed, word_hashes, written
+from texlith.llm._common import as_bytes, held, mixed, slices, summed, word_hashes, written
 from texlith.llm.components import connected_components
 
 WORDS = 5
@@ -115,33 +117,52 @@ def signatures(shingles: np.ndarray, classes: np.ndarray, percent: int = PERCENT
     return np.concatenate(out), np.concatenate(role).astype(np.uint8), len(single)
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """A bitmap of about two bits a shingle: which hashed places an odd number of them have."""
+    bits = 1 << max(6, (2 * len(shingles)).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def apart_at_least(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets: the larger bitmap is folded to the smaller one's size."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, set_id) for each row."""
+    """(doc_id, key, n, set_id, parity) for each row."""
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            found = [(len(s), set_id(s)) for s in shingle_sets(as_bytes(batch["text"]))]
-            made = pd.DataFrame(found, columns=["n", "set_id"], dtype="int64")
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "key": batch["key"], "n": made["n"], "set_id": made["set_id"]})
+            found = [(len(s), set_id(s), parity(s)) for s in shingle_sets(as_bytes(batch["text"]))]
+            made = pd.DataFrame(found, columns=["n", "set_id", "parity"])
+            made.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+            made.insert(1, "key", batch["key"].to_numpy())
+            yield made.astype({"doc_id": "Int64", "n": "int64", "set_id": "int64"})
 
-    return docs.mapInPandas(run, "doc_id long, key long, n long, set_id long")
+    return docs.mapInPandas(run, "doc_id long, key long, n long, set_id long, parity binary")
 
 
 def _sketch(rows: Iterator[pd.DataFrame]) -> np.ndarray:
-    total, held = np.zeros(CELLS, np.int64), []
+    total, sets = np.zeros(CELLS, np.int64), []
     shift = np.uint64(64 - CELLS.bit_length() + 1)
 
     def add() -> None:
-        cells, n = np.unique(np.concatenate(held) >> shift, return_counts=True)
+        cells, n = np.unique(np.concatenate(sets) >> shift, return_counts=True)
         total[cells.astype(np.int64)] += n
-        held.clear()
+        sets.clear()
 
     for batch in rows:
         for s in shingle_sets(as_bytes(batch["text"])):
-            held.append(s)
-            if len(held) >= 2000:
+            sets.append(s)
+            if len(sets) >= 2000:
                 add()
-    if held:
+    if sets:
         add()
     return total
 
@@ -165,14 +186,14 @@ def _buckets(docs: DataFrame, classes, parts: int, percent: int) -> DataFrame:
         return tuple(out)
 
     def emit(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        kept, size = [], 0
 
         def flush() -> Iterator[pd.DataFrame]:
-            sig = np.concatenate([x[0] for x in held])
-            ids = np.repeat(np.array([x[3] for x in held], np.int64), [len(x[0]) for x in held])
-            n = np.repeat(np.array([x[4] for x in held], np.uint32), [len(x[0]) for x in held])
-            role = np.concatenate([x[1] for x in held])
-            often = np.concatenate([np.arange(len(x[0])) >= x[2] for x in held])
+            sig = np.concatenate([x[0] for x in kept])
+            ids = np.repeat(np.array([x[3] for x in kept], np.int64), [len(x[0]) for x in kept])
+            n = np.repeat(np.array([x[4] for x in kept], np.uint32), [len(x[0]) for x in kept])
+            role = np.concatenate([x[1] for x in kept])
+            often = np.concatenate([np.arange(len(x[0])) >= x[2] for x in kept])
             part = np.where(often, mixed(sig ^ mixed(ids.view(np.uint64))), mixed(sig)) % np.uint64(parts)
             slot = part.astype(np.int64) * 2 + often
             order = np.argsort(slot, kind="stable")
@@ -181,18 +202,18 @@ def _buckets(docs: DataFrame, classes, parts: int, percent: int) -> DataFrame:
             for k in np.flatnonzero(np.diff(cuts)).tolist():
                 at = order[cuts[k] : cuts[k + 1]]
                 out.append((k // 2, bool(k % 2), packed(sig[at], ids[at], n[at], role[at])))
-            held.clear()
+            kept.clear()
             yield pd.DataFrame(out, columns=["part", "often", "data"])
 
         for batch in rows:
             for s in shingle_sets(as_bytes(batch["text"])):
                 if len(s):
-                    held.append((*signatures(s, classes.value, percent), set_id(s), len(s)))
-                    size += len(held[-1][0])
+                    kept.append((*signatures(s, classes.value, percent), set_id(s), len(s)))
+                    size += len(kept[-1][0])
                     if size > 3_000_000:
                         yield from flush()
                         size = 0
-        if held:
+        if kept:
             yield from flush()
 
     def shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -212,14 +233,25 @@ def _buckets(docs: DataFrame, classes, parts: int, percent: int) -> DataFrame:
     return sent.groupBy("part", "often").applyInPandas(shared, "sig long, set_id long, n long, role int")
 
 
+def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b) whose bitmaps allow a link."""
+
+    def kept(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            both = (batch["na"] + batch["nb"]) * (100 - percent)
+            least = np.array([apart_at_least(x, y) for x, y in zip(batch["pa"], batch["pb"], strict=True)], np.int64)
+            yield batch.loc[least * (100 + percent) <= both, ["a", "b"]]
+
+    of = lambda k: reps.select(F.col("set_id").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").mapInPandas(kept, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Those of pairs(a, b) of set ids that are linked, by their whole sets.
 
     The sets of the nodes in question are made anew from their first documents; a bitmap of fixed size over their keys
     spares the others, and the join that follows settles what it lets through.
     """
-    ids = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = written(ids.join(reps, "set_id").select("set_id", F.col("first.key").alias("key")))
 
     def cells(keys: pd.Series) -> np.ndarray:
         return (mixed(keys.to_numpy(np.int64).view(np.uint64)) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
@@ -230,8 +262,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
             total[cells(batch["key"])] = 1
         return total
 
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(summed(wanted.select("key"), marked, CELLS) > 0))
-
     def remade(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in rows:
             at = cells(batch["key"])
@@ -239,22 +269,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
             made = [(k, s.tobytes()) for k, s in zip(some["key"], shingle_sets(as_bytes(some["text"])), strict=True)]
             yield pd.DataFrame(made, columns=["key", "shingles"])
 
-    sets = docs.select("key", "text").mapInPandas(remade, "key long, shingles binary").join(wanted, "key").select("set_id", "shingles")
-    sets = written(sets.dropDuplicates(["set_id"]), "none")
-
     def linked(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in rows:
             keep = []
             for x, y in zip(batch["sx"], batch["sy"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate((x, y))
+                both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(both) - common))
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
-    joined = pairs.join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sy")), "b").join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sx")), "a")
-    return joined.mapInPandas(linked, "a long, b long")
+    with held(_plausible(pairs, reps, percent)) as near:
+        ids = near.select(F.col("a").alias("set_id")).unionAll(near.select(F.col("b").alias("set_id"))).distinct()
+        with held(ids.join(reps, "set_id").select("set_id", F.col("first.key").alias("key"))) as wanted:
+            bits = docs.sparkSession.sparkContext.broadcast(np.packbits(summed(wanted.select("key"), marked, CELLS) > 0))
+            sets = docs.select("key", "text").mapInPandas(remade, "key long, shingles binary").join(wanted, "key").select("set_id", "shingles")
+            with held(sets.dropDuplicates(["set_id"]), "none") as whole:
+                of = lambda k, s: whole.select(F.col("set_id").alias(k), F.col("shingles").alias(s))
+                return written(near.join(of("b", "sy"), "b").join(of("a", "sx"), "a").mapInPandas(linked, "a long, b long"))
 
 
 def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -268,36 +300,42 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
     nodes = written(_nodes(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    reps = written(nodes.where("n > 0").groupBy("set_id", "n").agg(first))
+    reps = written(nodes.where("n > 0").groupBy("set_id", "n").agg(first, F.first("parity").alias("parity")))
     counts = summed(docs.select("text"), _sketch, CELLS)
     classes = spark.sparkContext.broadcast(frequency_classes(counts))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum() // 12_000_000) + 1)
-    buckets = written(_buckets(docs.select("text"), classes, parts, percent))
-
-    close = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    pivots = written(buckets.groupBy("sig").agg(F.min(F.struct("set_id", "n")).alias("p")).select("sig", F.col("p.set_id").alias("set_id"), F.col("p.n").alias("n")))
-    met = pivots.alias("x").join(buckets.alias("y"), "sig").where(f"x.set_id <> y.set_id and {close}")
-    pairs = written(met.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct())
-    links = written(_verified(pairs, docs, reps, percent))
-
-    labels = written(connected_components(links))
-    placed = buckets.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    placed = written(placed)
-    mixed_sigs = placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    open_ = written(placed.join(mixed_sigs, "sig", "left_semi"))
+    placed = written(_buckets(docs.select("text"), classes, parts, percent).withColumn("label", F.col("set_id")))
+
+    close = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and x.label <> y.label"
+    known = links = labels = None
+
+    def compared(pairs: DataFrame) -> None:
+        """Looks at pairs that weren't looked at, adds their links, and labels what is still open anew."""
+        nonlocal known, links, labels, placed
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = written(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
+        found = _verified(pairs, docs, reps, percent)
+        known = pairs if known is None else known.unionAll(pairs)
+        links = found if links is None else links.unionAll(found)
+        labels = written(connected_components(links))
+        fresh = placed.drop("label").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+        fresh = written(fresh)
+        still = fresh.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+        placed = written(fresh.join(still, "sig", "left_semi"))
+
+    for chosen in (F.min, F.max):
+        pivots = placed.groupBy("sig").agg(chosen(F.struct("set_id", "n", "label")).alias("p")).select("sig", "p.*")
+        met = written(pivots).alias("x").join(placed.alias("y"), "sig").where(f"x.set_id <> y.set_id and {close}")
+        shared = met.groupBy(F.col("y.set_id").alias("a"), F.col("x.set_id").alias("b")).agg(F.count("*").alias("sigs"))
+        compared(shared.groupBy("a").agg(F.max(F.struct("sigs", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
     larger = "(x.n > y.n or x.n = y.n and x.set_id > y.set_id)"
-    apart = open_.alias("x").join(open_.alias("y"), "sig").where(f"x.label <> y.label and {larger} and {close} and x.role & {_PROBE} > 0 and y.role & {_INDEX} > 0")
-    rest = apart.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = written(rest.join(known, ["a", "b"], "left_anti"))
-    more = written(_verified(rest, docs, reps, percent))
-    if not more.isEmpty():
-        labels = written(connected_components(links.unionAll(more)))
+    rest = placed.alias("x").join(placed.alias("y"), "sig").where(f"{larger} and {close} and x.role & {_PROBE} > 0 and y.role & {_INDEX} > 0")
+    compared(rest.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")))
 
     member = reps.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "n", "first", F.coalesce("label", "set_id").alias("label"))
     smallest = member.groupBy("label").agg(F.min("first").alias("least"))
     of_set = written(member.join(smallest, "label").select("set_id", "n", "least"))
-    out = nodes.join(of_set, ["set_id", "n"], "left")
+    out = nodes.drop("parity").join(of_set, ["set_id", "n"], "left")
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), ((F.col("n") == 0) | (F.col("key") == F.col("least.key"))).alias("kept"))
 
 
