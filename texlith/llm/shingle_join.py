@@ -210,7 +210,7 @@ def _buckets(docs: DataFrame, classes, parts: int, percent: int) -> DataFrame:
                 if len(s):
                     kept.append((*signatures(s, classes.value, percent), set_id(s), len(s)))
                     size += len(kept[-1][0])
-                    if size > 3_000_000:
+                    if size > 1_000_000:
                         yield from flush()
                         size = 0
         if kept:
