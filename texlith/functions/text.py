@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from texlith.functions import constants as C
 
@@ -134,7 +135,7 @@ def looks_foreign(text: Column) -> Column:
     return (foreign_share(text) > C.FOREIGN_SCRIPT) | (foreign >= 2) & (foreign > stops)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
