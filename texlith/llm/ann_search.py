@@ -30,35 +30,37 @@ class CollisionIndex:
         self.axes = np.random.default_rng(seed).standard_normal((points.shape[1], directions))
         spread = points @ self.axes
         self.order = np.ascontiguousarray(spread.argsort(axis=0, kind="stable").T)
-        self.sorted = np.take_along_axis(spread.T, self.order, axis=1)
+        ordered = np.take_along_axis(spread.T, self.order, axis=1)
+        # One array for all directions, each in a range of its own, so that a round looks all its windows up at once.
+        self.apart = 4 * (1 + float(np.abs(spread).max()))
+        self.sorted = (ordered + self.apart * np.arange(directions)[:, None]).ravel()
+        self.base = len(points) * np.arange(directions)
         self.threshold = int(np.ceil((2 * NormalDist().cdf(width / 2) - 1 - margin) * directions))
 
     def candidates(self, query: np.ndarray, k: int, enough: int, verify, start: float = 0.8, factor: float = 1.12, sure: float = 0.8) -> tuple[np.ndarray, np.ndarray]:
         """Verified rows and their distances from `query`. verify(rows) gives distances."""
         n = len(self.points)
         centre = query @ self.axes
-        at = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre, strict=True)])
-        low, high = at.copy(), at.copy()
-        hits = np.zeros(n, np.int32)
+        ranges = self.apart * np.arange(len(centre))
+        low = high = np.searchsorted(self.sorted, np.clip(centre, -self.apart / 2, self.apart / 2) + ranges)
+        hits = np.zeros(n, np.int64)
         done = np.zeros(n, bool)
         rows, far = [np.zeros(0, np.int64)], [np.zeros(0)]
-        verified, radius = 0, start
+        verified, radius, order = 0, start, self.order.ravel()
         while True:
             half = self.width * radius / 2
-            parts = []
-            for j, (s, c) in enumerate(zip(self.sorted, centre, strict=True)):
-                a, b = np.searchsorted(s, (c - half, c + half))
-                a, b = min(a, low[j]), max(b, high[j])
-                parts += [self.order[j, a : low[j]], self.order[j, high[j] : b]]
-                low[j], high[j] = a, b
-            hits += np.bincount(np.concatenate(parts), minlength=n).astype(np.int32)
+            ends = [np.searchsorted(self.sorted, np.clip(centre + s, -self.apart / 2, self.apart / 2) + ranges) for s in (-half, half)]
+            left, right = np.minimum(ends[0], low), np.maximum(ends[1], high)
+            parts = [order[a:b] for a, b in zip(left.tolist(), low.tolist(), strict=True)] + [order[a:b] for a, b in zip(high.tolist(), right.tolist(), strict=True)]
+            low, high = left, right
+            hits += np.bincount(np.concatenate(parts), minlength=n)
             new = np.flatnonzero((hits >= self.threshold) & ~done)
             if len(new):
                 done[new] = True
                 rows.append(new)
                 far.append(verify(new))
                 verified += len(new)
-            whole = (low == 0).all() and (high == n).all()
+            whole = (low == self.base).all() and (high == self.base + n).all()
             if whole or verified >= enough or verified >= k and np.partition(np.concatenate(far), k - 1)[k - 1] <= sure * radius:
                 return np.concatenate(rows), np.concatenate(far)
             radius *= factor
@@ -81,7 +83,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, share: float = 0.3
             unit = np.append(q / np.linalg.norm(q), 0)
             own = np.searchsorted(ids, [query_id, query_id + 1])
             copies = int(own[1] - own[0])
-            rows, _ = index.candidates(unit, k + copies, k + copies + int(share * len(ids)), lambda r, unit=unit: np.sqrt(np.maximum(2 - 2 * points[r] @ unit, 0)))
+
+            def distances(some: np.ndarray, unit: np.ndarray = unit) -> np.ndarray:
+                sims = (points @ unit)[some] if 4 * len(some) > len(points) else points[some] @ unit  # a long list is dearer to copy
+                return np.sqrt(np.maximum(2 - 2 * sims, 0))
+
+            rows, far = index.candidates(unit, k + copies, k + copies + int(share * len(ids)), distances)
+            if len(rows) > k + copies:  # all that may be among the best; their scores are worked out exactly
+                rows = rows[far <= np.partition(far, k + copies - 1)[k + copies - 1] + 1e-6]
             rows = rows[ids[rows] != query_id]
             scores = (matrix[rows] * q).sum(axis=1)
             best = np.lexsort((ids[rows], -scores))[:k]
