@@ -101,7 +101,7 @@ class Store:
     def share(self, spark: SparkSession, tables: list[DataFrame]) -> None:
         if not self.direct:
             for k, table in enumerate(tables):
-                path = f"{self.folder}/{k}"
+                path = f"{self.folder}-{k}"
                 table.where(F.col("kind").startswith("file ")).write.option("compression", "none").parquet(path)
                 spark.sparkContext.addFile(path, recursive=True)
             self.count = len(tables)
@@ -127,7 +127,7 @@ def _unpack(folder: str, count: int) -> str:
         if not os.path.exists(to):
             os.makedirs(to + ".part", exist_ok=True)
             for k in range(count):
-                top = SparkFiles.get(str(k))
+                top = SparkFiles.get(f"{os.path.basename(folder)}-{k}")
                 for f in sorted(x for x in os.listdir(top) if x.endswith(".parquet")):
                     for batch in pq.ParquetFile(os.path.join(top, f)).iter_batches(16):
                         for row in batch.to_pylist():
