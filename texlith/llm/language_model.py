@@ -20,7 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texlith.llm._common import as_bytes, local_path, mixed, shared_folder, slices, word_hashes, written
+from texlith.llm._common import as_bytes, local_path, mixed, remove, shared_folder, slices, word_hashes, written
 
 BEGIN, END = np.uint64(0x0B0E), np.uint64(0x0E0D)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -73,8 +73,14 @@ def _summed(key: np.ndarray, arrays: list[np.ndarray], sums: int) -> tuple[np.nd
 
 
 def _sent(kind: str, key: np.ndarray, arrays: list[np.ndarray], parts: int) -> list[tuple[str, int, bytes]]:
+    """Rows for the parts that have any; a part's n-grams stand by their first word, whose repetitions compress."""
     cuts = np.searchsorted(part_of(key, parts), np.arange(parts + 1))
-    return [(kind, k, _packed([a[cuts[k] : cuts[k + 1]] for a in arrays])) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+    out = []
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        own = [a[cuts[k] : cuts[k + 1]] for a in arrays]
+        order = np.argsort(own[0], kind="stable")
+        out.append((kind, k, _packed([a[order] for a in own])))
+    return out
 
 
 class Store:
@@ -229,7 +235,7 @@ def train(texts: DataFrame, order: int = 2) -> Model:
         if held:
             yield flush()
 
-    def level(n: int, rows: DataFrame) -> DataFrame:
+    def level(n: int, rows: DataFrame, path: str) -> DataFrame:
         """Writes a level's arrays; gives its counts of counts, its contexts' sums and the next level's counts."""
 
         def reduced(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -237,6 +243,10 @@ def train(texts: DataFrame, order: int = 2) -> Model:
             given = _unpacked(rows["data"][rows["kind"] == "low"], n + 1)
             keys, (*columns, count) = _summed(key_of(given[:-1]), given, 1)
             out = []
+            if n > 1 and (rows["kind"] == "raw").any():  # counts of single words go along to the last level
+                word, raw = _unpacked(rows["data"][rows["kind"] == "raw"], 2)
+                _, some = _summed(key_of([word]), [word, raw], 1)
+                out.append(("raw", part, _packed(some)))
             if n == 1:
                 word, raw = _unpacked(rows["data"][rows["kind"] == "raw"], 2)
                 raw_keys, (_, raw) = _summed(key_of([word]), [word, raw], 1)
@@ -255,7 +265,7 @@ def train(texts: DataFrame, order: int = 2) -> Model:
             out.append(("stat", part, np.array(stats, np.int64).tobytes()))
             return pd.DataFrame(out, columns=["kind", "part", "data"])
 
-        return written(rows.groupBy("part").applyInPandas(reduced, _ROWS))
+        return written(rows.groupBy("part").applyInPandas(reduced, _ROWS), path=path)
 
     def contexts(n: int, rows: DataFrame) -> DataFrame:
         discount = model.discount[n]
@@ -271,16 +281,18 @@ def train(texts: DataFrame, order: int = 2) -> Model:
 
         return written(rows.where("kind = 'ctx'").groupBy("part").applyInPandas(reduced, _ROWS))
 
-    sent = written(texts.select("text").mapInPandas(counted, _ROWS), "lz4")
-    raw, rows, tables = sent.where("kind = 'raw'"), sent.where("kind = 'low'"), []
+    rows, tables, path = texts.select("text").mapInPandas(counted, _ROWS), [], None
     for n in range(order, 0, -1):
-        rows = level(n, rows.unionAll(raw) if n == 1 else rows)
+        before, path = path, shared_folder(spark)
+        rows = level(n, rows, path)
         tables.append(rows)
+        if before and store.direct:
+            remove(spark, before)
         stats = np.array([np.frombuffer(r["data"], np.int64) for r in rows.where("kind = 'stat'").select("data").collect()]).reshape(-1, 8).sum(axis=0)
         model.discount[n] = _discounts(stats[2:6])
         if n > 1:
             tables.append(contexts(n, rows))
-            rows = rows.where("kind = 'low'")
+            rows = rows.where("kind in ('low', 'raw')")
         else:
             model.vocabulary, model.train_tokens, model.total = int(stats[0]), int(stats[1]), float(stats[7])
             model.backoff = float((model.discount[1][1:] * [stats[2], stats[3], stats[6]]).sum() / max(1, stats[7]))
