@@ -1,15 +1,17 @@
 """Similarity join on word shingles: Jaccard links and their components, by token-combination prefixes.
 
-Documents with equal sets are one node. Shingles are ordered by a class of how frequent they are (from a sketch of
-fixed size over all documents), rare ones first. A set is indexed by a prefix in this order: rare shingles as they
-are, frequent ones by combinations of two within sub-classes of the shingle space; the prefix is extended until the
-combinations cover as many shingles as two similar sets can differ in, so that any two linked sets share a signature.
+Documents with equal sets are one node. Shingles are ordered by how frequent they are (from a sketch of fixed size over
+all documents), rare ones first. A set is indexed by a prefix in this order: rare shingles as they are, frequent ones by
+combinations of two within sub-classes of the shingle space; the prefix is extended until the combinations cover as
+many shingles as two similar sets can differ in, so that any two linked sets share a signature. The rare ones too are
+in order of their counts, so that shingles of a passage that a few texts share come into a prefix last.
 
-Sets that share a signature aren't paired with each other: in two rounds each is compared with one pivot, that of most
+Sets that share a signature aren't paired with each other: in some rounds each is compared with one pivot, that of most
 of its signatures, and links form components; then only sets that share a signature and are still in different
 components are compared. No link between components remains, and a group of n near copies takes about n comparisons.
 A pair is first held against an upper bound from bitmaps of the parity of hashed shingles (their Hamming distance is
-at most the sets' symmetric difference, so that no link is lost), and then verified by whole sets.
+at most the sets' symmetric difference, so that no link is lost), and then verified by whole sets. The last join has
+short bitmaps in its condition, so that texts that merely share a passage make no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +32,11 @@ PERCENT = 80
 CELLS = 1 << 22
 _PROBE, _INDEX = 1, 2
 _CLASS_SIZE = 16
+_OFTEN = 128
+#: Rounds of comparisons with pivots; what is still open after them is compared pair by pair.
+_TURNS = 2
+#: Bits of the bitmaps that the last join holds against each other.
+_SHORT = 256
 #: Sizes at which levels begin: linked sets are at most one level apart.
 _LEVELS = sorted({-(-(5**k) // 4**k) for k in range(80)})
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -69,10 +76,12 @@ def needs(n: int, percent: int = PERCENT) -> tuple[int, int]:
 
 
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
-    """A class for each cell: 0 if its count is what chance gives, else the number of bits of what is over that."""
+    """A class for each cell, below _OFTEN and by its count if that is what chance gives, else by the bits of what is over that."""
     mean = counts.mean()
-    over = counts - (mean + 6 * np.sqrt(mean) + 8)
-    return np.where(over > 0, np.ceil(np.log2(np.maximum(over, 1) + 1)), 0).astype(np.uint8)
+    chance = 6 * np.sqrt(mean) + 8
+    over = counts - (mean + chance)
+    rare = np.clip((over / chance + 2) / 2 * (_OFTEN - 1), 0, _OFTEN - 1)
+    return np.where(over > 0, _OFTEN - 1 + np.ceil(np.log2(np.maximum(over, 1) + 1)), rare).astype(np.uint8)
 
 
 def _level(n: int) -> int:
@@ -103,7 +112,7 @@ def signatures(shingles: np.ndarray, classes: np.ndarray, percent: int = PERCENT
     shift = np.uint64(64 - len(classes).bit_length() + 1)
     kind = classes[(shingles >> shift).astype(np.int64)]
     order = np.argsort(kind, kind="stable")
-    rare = int((kind == 0).sum())
+    rare = int((kind < _OFTEN).sum())
     probe, index = needs(len(shingles), percent)
     single = shingles[order[: min(rare, probe)]]
     out, role = [single], [np.where(np.arange(len(single)) < index, _PROBE | _INDEX, _PROBE)]
@@ -124,6 +133,12 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def short_parity(shingles: np.ndarray) -> list[int]:
+    """The same bitmap in _SHORT bits, as signed 64-bit words."""
+    odd = np.bincount((shingles & np.uint64(_SHORT - 1)).astype(np.int64), minlength=_SHORT) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+
+
 def apart_at_least(x: bytes, y: bytes) -> int:
     """A lower bound of the symmetric difference of two sets: the larger bitmap is folded to the smaller one's size."""
     a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
@@ -135,17 +150,17 @@ def apart_at_least(x: bytes, y: bytes) -> int:
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, set_id, parity) for each row."""
+    """(doc_id, key, n, set_id, parity, short) for each row."""
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            found = [(len(s), set_id(s), parity(s)) for s in shingle_sets(as_bytes(batch["text"]))]
-            made = pd.DataFrame(found, columns=["n", "set_id", "parity"])
+            found = [(len(s), set_id(s), parity(s), short_parity(s)) for s in shingle_sets(as_bytes(batch["text"]))]
+            made = pd.DataFrame(found, columns=["n", "set_id", "parity", "short"])
             made.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             made.insert(1, "key", batch["key"].to_numpy())
             yield made.astype({"doc_id": "Int64", "n": "int64", "set_id": "int64"})
 
-    return docs.mapInPandas(run, "doc_id long, key long, n long, set_id long, parity binary")
+    return docs.mapInPandas(run, "doc_id long, key long, n long, set_id long, parity binary, short array<long>")
 
 
 def _sketch(rows: Iterator[pd.DataFrame]) -> np.ndarray:
@@ -300,7 +315,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
     nodes = written(_nodes(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    reps = written(nodes.where("n > 0").groupBy("set_id", "n").agg(first, F.first("parity").alias("parity")))
+    reps = written(nodes.where("n > 0").groupBy("set_id", "n").agg(first, F.first("parity").alias("parity"), F.first("short").alias("short")))
     counts = summed(docs.select("text"), _sketch, CELLS)
     classes = spark.sparkContext.broadcast(frequency_classes(counts))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum() // 12_000_000) + 1)
@@ -323,19 +338,23 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         still = fresh.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
         placed = written(fresh.join(still, "sig", "left_semi"))
 
-    for chosen in (F.min, F.max):
-        pivots = placed.groupBy("sig").agg(chosen(F.struct("set_id", "n", "label")).alias("p")).select("sig", "p.*")
+    for turn in range(_TURNS):
+        drawn = F.struct(F.xxhash64("set_id", F.lit(turn)).alias("draw"), "set_id", "n", "label")
+        pivots = placed.groupBy("sig").agg(F.min(drawn).alias("p")).select("sig", "p.set_id", "p.n", "p.label")
         met = written(pivots).alias("x").join(placed.alias("y"), "sig").where(f"x.set_id <> y.set_id and {close}")
         shared = met.groupBy(F.col("y.set_id").alias("a"), F.col("x.set_id").alias("b")).agg(F.count("*").alias("sigs"))
         compared(shared.groupBy("a").agg(F.max(F.struct("sigs", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
     larger = "(x.n > y.n or x.n = y.n and x.set_id > y.set_id)"
-    rest = placed.alias("x").join(placed.alias("y"), "sig").where(f"{larger} and {close} and x.role & {_PROBE} > 0 and y.role & {_INDEX} > 0")
+    apart = " + ".join(f"bit_count(x.short[{k}] ^ y.short[{k}])" for k in range(_SHORT // 64))
+    near = f"{100 + percent} * ({apart}) <= {100 - percent} * (x.n + y.n)"
+    short = placed.join(reps.select("set_id", "short"), "set_id")
+    rest = short.alias("x").join(short.alias("y"), "sig").where(f"{larger} and {close} and x.role & {_PROBE} > 0 and y.role & {_INDEX} > 0 and {near}")
     compared(rest.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")))
 
     member = reps.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "n", "first", F.coalesce("label", "set_id").alias("label"))
     smallest = member.groupBy("label").agg(F.min("first").alias("least"))
     of_set = written(member.join(smallest, "label").select("set_id", "n", "least"))
-    out = nodes.drop("parity").join(of_set, ["set_id", "n"], "left")
+    out = nodes.drop("parity", "short").join(of_set, ["set_id", "n"], "left")
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), ((F.col("n") == 0) | (F.col("key") == F.col("least.key"))).alias("kept"))
 
 
