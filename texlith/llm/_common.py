@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a worker turns into arrays at once.
 SLICE_BYTES = 1 << 21
+#: The same for words, whose arrays take about 50 bytes for each byte of text.
+WORD_BYTES = 1 << 19
 
 _rng = np.random.default_rng(971_341)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,8 +87,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def _pieces(text: bytes) -> Iterator[bytes]:
     """Long texts cut at white space, so that arrays stay small."""
     at = 0
-    while len(text) - at > 2 * SLICE_BYTES:
-        cut = at + SLICE_BYTES
+    while len(text) - at > 2 * WORD_BYTES:
+        cut = at + WORD_BYTES
         while cut < len(text) and not SPACE[text[cut]]:
             cut += 1
         yield text[at:cut]
@@ -111,7 +113,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     parts = [(i, p) for i, t in enumerate(texts) for p in _pieces(t or b"")]
     counts = np.zeros(len(texts) + 1, np.int64)
     out = []
-    for a, b in slices([len(p) for _, p in parts]):
+    for a, b in slices([len(p) for _, p in parts], WORD_BYTES):
         data = np.frombuffer(b" " + b" ".join(p for _, p in parts[a:b]).lower() + b" ", np.uint8)
         space = SPACE[data]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texlith.llm._common import as_bytes, held, mixed, slices, summed, word_hashes, written
+from texlith.llm._common import WORD_BYTES, as_bytes, held, mixed, slices, summed, word_hashes, written
 from texlith.llm.components import connected_components
 
 WORDS = 5
@@ -44,7 +44,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> Iterator[np.ndarray]:
     """Each text's distinct shingle hashes, in order; a text of fewer words is one shingle, one without words has none."""
-    for a, b in slices([len(t) for t in texts]):
+    for a, b in slices([len(t) for t in texts], WORD_BYTES):
         hashes, first = word_hashes(texts[a:b])
         n = np.diff(first)
         full = mixed(hashes + np.uint64(words))
@@ -164,7 +164,7 @@ def _nodes(docs: DataFrame) -> DataFrame:
 
 
 def _sketch(rows: Iterator[pd.DataFrame]) -> np.ndarray:
-    total, sets = np.zeros(CELLS, np.int64), []
+    total, sets, size = np.zeros(CELLS, np.int64), [], 0
     shift = np.uint64(64 - CELLS.bit_length() + 1)
 
     def add() -> None:
@@ -175,8 +175,10 @@ def _sketch(rows: Iterator[pd.DataFrame]) -> np.ndarray:
     for batch in rows:
         for s in shingle_sets(as_bytes(batch["text"])):
             sets.append(s)
-            if len(sets) >= 2000:
+            size += len(s)
+            if size >= 300_000:
                 add()
+                size = 0
     if sets:
         add()
     return total
@@ -225,7 +227,7 @@ def _buckets(docs: DataFrame, classes, parts: int, percent: int) -> DataFrame:
                 if len(s):
                     kept.append((*signatures(s, classes.value, percent), set_id(s), len(s)))
                     size += len(kept[-1][0])
-                    if size > 1_000_000:
+                    if size > 300_000:
                         yield from flush()
                         size = 0
         if kept:
