@@ -132,31 +132,54 @@ def build(spec: Spec, bare: bool = False):
 class Codec:
     """A rebuilt model that looks up equal words: distinct ones of a slice go to the library as one batch."""
 
-    def __init__(self, data: bytes, remembered: int = 300_000):
+    def __init__(self, data: bytes, remembered: int = 600_000):
         self.spec = parse_model(data)
         self.whole, self.bare = build(self.spec), build(self.spec, bare=True)
         self.words = cuts_at_marks(self.spec)
         self.plain = not self.spec.charsmap and not self.spec.squeeze
         self.remembered, self.held = remembered, {}
+        self.bytes_of = [bytes([int(p[3:-1], 16)]) if t == _BYTE else p.replace(MARK, " ").encode() for p, _, t in self.spec.pieces]
 
     def normalized(self, text: str) -> str:
         if not self.plain:
             return self.whole.normalizer.normalize_str(text)
         return (MARK * (self.spec.dummy_prefix and text != "") + text).replace(" ", MARK)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def _add(self, words: list[str]) -> None:
+        ids = [e.ids for e in self.bare.encode_batch_fast(words, add_special_tokens=False)]
+        ends = np.cumsum([4 * len(x) for x in ids]).tolist()
+        data = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        self.held.update(zip(words, (data[i:k] for i, k in zip([0, *ends], ends, strict=False)), strict=True))
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
         if not self.words:
-            return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
         split = [_WORDS.findall(self.normalized(t)) for t in texts]
-        new = list({w for words in split for w in words} - self.held.keys())
+        distinct = set(chain.from_iterable(split))
+        new = list(distinct - self.held.keys())
         if len(self.held) + len(new) > self.remembered:
             self.held = {}
-            new = list({w for words in split for w in words})
-        self.held.update(zip(new, (e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [list(chain.from_iterable(map(self.held.__getitem__, words))) for words in split]
+            new = list(distinct)
+        if new:
+            self._add(new)
+        return [b"".join(map(self.held.__getitem__, words)) for words in split]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, "<u4").tolist() for x in self.encode_bytes(texts)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.whole.decode_batch(ids, skip_special_tokens=False)
+        """Texts of ids. Pieces' bytes are joined; where bytes that are no UTF-8 came in, the library decides what to make of them."""
+        out = []
+        for x in ids:
+            try:
+                text = b"".join(map(self.bytes_of.__getitem__, x)).decode()
+            except UnicodeDecodeError:
+                text = self.whole.decode(x, skip_special_tokens=False)
+            else:
+                text = text[1:] if self.spec.dummy_prefix and text.startswith(" ") else text
+            out.append(text)
+        return out
 
 
 @lru_cache(2)
@@ -188,12 +211,12 @@ def encode_and_decode(docs: DataFrame, path: str, verify: bool = True, texts: bo
             given, out = as_texts(batch["text"]), []
             for a, b in slices([len(t) for t in given]):
                 some = given[a:b]
-                ids = codec.encode(some)
+                packed = codec.encode_bytes(some)
+                ids = [np.frombuffer(x, "<u4").tolist() for x in packed]
                 back = codec.decode(ids)
                 same = _reference(path).encode(some, num_threads=1) if verify else None
                 for i, x in enumerate(ids):
-                    crc = zlib.crc32(np.array(x, "<u4").tobytes())
-                    row = (len(x), crc, back[i] == some[i], x == same[i] if verify else None)
+                    row = (len(x), zlib.crc32(packed[i]), back[i] == some[i], x == same[i] if verify else None)
                     out.append((*row, x, back[i]) if texts else row)
             made = pd.DataFrame(out, columns=names)
             made.insert(0, "doc_id", batch["doc_id"].to_numpy())
