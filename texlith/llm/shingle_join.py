@@ -11,7 +11,8 @@ of its signatures, and links form components; then only sets that share a signat
 components are compared. No link between components remains, and a group of n near copies takes about n comparisons.
 A pair is first held against an upper bound from bitmaps of the parity of hashed shingles (their Hamming distance is
 at most the sets' symmetric difference, so that no link is lost), and then verified by whole sets. The last join has
-short bitmaps in its condition, so that texts that merely share a passage make no rows.
+short bitmaps in its condition, so that texts that merely share a passage make no rows, and of the signatures that the
+same sets have in the same roles only one.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ _CLASS_SIZE = 16
 _OFTEN = 128
 #: Rounds of comparisons with pivots; what is still open after them is compared pair by pair.
 _TURNS = 2
-#: Bits of the bitmaps that the last join holds against each other.
-_SHORT = 256
+#: Least and most bits of the bitmaps that the last join holds against each other; between them, four to eight a shingle.
+_SHORT, _LONG = 256, 8192
 #: Sizes at which levels begin: linked sets are at most one level apart.
 _LEVELS = sorted({-(-(5**k) // 4**k) for k in range(80)})
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -134,8 +135,9 @@ def parity(shingles: np.ndarray) -> bytes:
 
 
 def short_parity(shingles: np.ndarray) -> list[int]:
-    """The same bitmap in _SHORT bits, as signed 64-bit words."""
-    odd = np.bincount((shingles & np.uint64(_SHORT - 1)).astype(np.int64), minlength=_SHORT) & 1
+    """The same bitmap in fewer bits, as signed 64-bit words. Sets of which one may link to the other are at most one doubling apart."""
+    bits = min(_LONG, max(_SHORT, 1 << (4 * len(shingles) - 1).bit_length()))
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).view(np.int64).tolist()
 
 
@@ -337,8 +339,10 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         labels = written(connected_components(links))
         fresh = placed.drop("label").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
         fresh = written(fresh)
-        still = fresh.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-        placed = written(fresh.join(still, "sig", "left_semi"))
+        # Signatures of the same sets in the same roles give the same pairs: one of them stays.
+        marks = [F.sum(F.xxhash64("set_id", "role", F.lit(k)).cast("decimal(38,0)")).alias(f"mark{k}") for k in range(2)]
+        still = fresh.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *marks).where("lo <> hi")
+        placed = written(fresh.join(still.groupBy("mark0", "mark1").agg(F.min("sig").alias("sig")), "sig", "left_semi"))
 
     for turn in range(_TURNS):
         drawn = F.struct(F.xxhash64("set_id", F.lit(turn)).alias("draw"), "set_id", "n", "label")
@@ -347,8 +351,10 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         shared = met.groupBy(F.col("y.set_id").alias("a"), F.col("x.set_id").alias("b")).agg(F.count("*").alias("sigs"))
         compared(shared.groupBy("a").agg(F.max(F.struct("sigs", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
     larger = "(x.n > y.n or x.n = y.n and x.set_id > y.set_id)"
-    apart = " + ".join(f"bit_count(x.short[{k}] ^ y.short[{k}])" for k in range(_SHORT // 64))
-    near = f"{100 + percent} * ({apart}) <= {100 - percent} * (x.n + y.n)"
+    least = "least(size(x.short), size(y.short))"
+    folded = "if(size({0}.short) > {1}, zip_with(slice({0}.short, 1, {1}), slice({0}.short, {1} + 1, {1}), (v, w) -> v ^ w), {0}.short)"
+    apart = f"aggregate(zip_with({folded.format('x', least)}, {folded.format('y', least)}, (v, w) -> bit_count(v ^ w)), 0, (s, v) -> s + v)"
+    near = f"{100 + percent} * {apart} <= {100 - percent} * (x.n + y.n)"
     short = placed.join(reps.select("set_id", "short"), "set_id")
     rest = short.alias("x").join(short.alias("y"), "sig").where(f"{larger} and {close} and x.role & {_PROBE} > 0 and y.role & {_INDEX} > 0 and {near}")
     compared(rest.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")))
