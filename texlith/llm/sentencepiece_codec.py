@@ -7,12 +7,13 @@ Parity with the sentencepiece library can be verified row by row.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 from typing import NamedTuple
 
@@ -105,7 +106,7 @@ def build(spec: Spec, bare: bool = False):
     unk = spec.pieces[spec.unk_id][0]
     if spec.kind == "bpe":
         vocab = {p: i for i, (p, _, _) in enumerate(spec.pieces)}
-        model = models.BPE(vocab, merges_of(spec), unk_token=unk, fuse_unk=True, byte_fallback=spec.byte_fallback, cache_capacity=200_000)
+        model = models.BPE(vocab, merges_of(spec), unk_token=unk, fuse_unk=True, byte_fallback=spec.byte_fallback, cache_capacity=0 if bare else 200_000)
     else:
         model = models.Unigram([(p, s) for p, s, _ in spec.pieces], spec.unk_id, spec.byte_fallback)
     out = Tokenizer(model)
@@ -134,12 +135,16 @@ class Codec:
 
     def __init__(self, data: bytes, remembered: int = 600_000):
         self.spec = parse_model(data)
-        self.whole, self.bare = build(self.spec), build(self.spec, bare=True)
+        self.bare = build(self.spec, bare=True)
         self.words = cuts_at_marks(self.spec)
         self.plain = not self.spec.charsmap and not self.spec.squeeze
         self.remembered, self.held = remembered, {}
         self.bytes_of = [bytes([int(p[3:-1], 16)]) if t == _BYTE else p.replace(MARK, " ").encode() for p, _, t in self.spec.pieces]
 
+    @cached_property
+    def whole(self):
+        return build(self.spec)
+
     def normalized(self, text: str) -> str:
         if not self.plain:
             return self.whole.normalizer.normalize_str(text)
@@ -211,6 +216,7 @@ def encode_and_decode(docs: DataFrame, path: str, verify: bool = True, texts: bo
             given, out = as_texts(batch["text"]), []
             for a, b in slices([len(t) for t in given]):
                 some = given[a:b]
+                gc.disable()  # a slice makes millions of objects and no cycles
                 packed = codec.encode_bytes(some)
                 ids = [np.frombuffer(x, "<u4").tolist() for x in packed]
                 back = codec.decode(ids)
@@ -218,6 +224,7 @@ def encode_and_decode(docs: DataFrame, path: str, verify: bool = True, texts: bo
                 for i, x in enumerate(ids):
                     row = (len(x), zlib.crc32(packed[i]), back[i] == some[i], x == same[i] if verify else None)
                     out.append((*row, x, back[i]) if texts else row)
+                gc.enable()
             made = pd.DataFrame(out, columns=names)
             made.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield made.astype({"doc_id": "Int64"})
