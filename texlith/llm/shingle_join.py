@@ -38,6 +38,8 @@ _OFTEN = 128
 _TURNS = 2
 #: Least and most bits of the bitmaps that the last join holds against each other; between them, four to eight a shingle.
 _SHORT, _LONG = 256, 8192
+#: So many of its smallest open signatures a set carries into the last join, to meet each other set at one of them only.
+_FIRST = 32
 #: Sizes at which levels begin: linked sets are at most one level apart.
 _LEVELS = sorted({-(-(5**k) // 4**k) for k in range(80)})
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -355,13 +357,17 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     folded = "if(size({0}.short) > {1}, zip_with(slice({0}.short, 1, {1}), slice({0}.short, {1} + 1, {1}), (v, w) -> v ^ w), {0}.short)"
     apart = f"aggregate(zip_with({folded.format('x', least)}, {folded.format('y', least)}, (v, w) -> bit_count(v ^ w)), 0, (s, v) -> s + v)"
     near = f"{100 + percent} * {apart} <= {100 - percent} * (x.n + y.n)"
-    short = placed.join(reps.select("set_id", "short"), "set_id")
-    rest = short.alias("x").join(short.alias("y"), "sig").where(f"{larger} and {close} and x.role & {_PROBE} > 0 and y.role & {_INDEX} > 0 and {near}")
+    # A pair is made at its smallest common signature; where that isn't among those that both carry, at each.
+    smallest = lambda role: F.slice(F.sort_array(F.collect_list(F.when(F.col("role").bitwiseAND(role) > 0, F.col("sig")))), 1, _FIRST)
+    firsts = placed.groupBy("set_id").agg(smallest(_PROBE).alias("probes"), smallest(_INDEX).alias("indexes"))
+    once = "coalesce(array_min(array_intersect(x.probes, y.indexes)) >= x.sig, true)"
+    short = placed.join(reps.select("set_id", "short"), "set_id").join(firsts, "set_id")
+    rest = short.alias("x").join(short.alias("y"), "sig").where(f"{larger} and {close} and x.role & {_PROBE} > 0 and y.role & {_INDEX} > 0 and {near} and {once}")
     compared(rest.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")))
 
     member = reps.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "n", "first", F.coalesce("label", "set_id").alias("label"))
-    smallest = member.groupBy("label").agg(F.min("first").alias("least"))
-    of_set = written(member.join(smallest, "label").select("set_id", "n", "least"))
+    leasts = member.groupBy("label").agg(F.min("first").alias("least"))
+    of_set = written(member.join(leasts, "label").select("set_id", "n", "least"))
     out = nodes.drop("parity", "short").join(of_set, ["set_id", "n"], "left")
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), ((F.col("n") == 0) | (F.col("key") == F.col("least.key"))).alias("kept"))
 
