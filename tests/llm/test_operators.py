@@ -178,6 +178,24 @@ def test_line_dedup(spark, odd):
     assert line_dedup.without_repeats(odd).columns == odd.columns and line_dedup.dedup_lines(odd).count() == 11
 
 
+def test_short_passages_go(spark):
+    """Passages of 2 to 6 lines and over 50 words between lines of one's own: the later copy goes whole, all else stays."""
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows, want = [], {}
+    for k in range(40):
+        passage = [line(60 // (2 + k % 5) + 2) for _ in range(2 + k % 5)]
+        for doc_id in (k, 100 + k):
+            before, after = [line(9) for _ in range(4)], [line(9) for _ in range(4)]
+            rows.append((doc_id, "\n".join(before + passage + after)))
+            want[doc_id] = rows[-1][1] if doc_id < 100 else "\n".join(before + after)
+    few = line(20) + "\n" + line(20)
+    rows += [(200, "a b\n" + few), (201, "c d\n" + few), (202, None), (203, ""), (204, "\n")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in want} == want and {k: got[k] for k in (202, 203, 204)} == {202: None, 203: "", 204: "\n"}
+    assert got[200] == "a b\n" + few and got[201].startswith("c d")
+
+
 def test_vector_searches(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((300, 16))

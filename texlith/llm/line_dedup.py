@@ -5,11 +5,14 @@ A text's lines are hashed. A boundary stands before a line if the rolling hash o
 of more than `long_words` words is a chunk of its own. Chunks that stand more than once in the corpus, and have more
 than one line or are such a line, stay where they come first (by doc_id, then place) and go elsewhere, after their
 bytes have been compared with the first one's.
+
+Chunks alone miss short passages, whose ends are in chunks with foreign lines. `runs` finds these by pairs of adjacent
+lines; the corpus pipeline removes them too, the query op5 follows its SQL, which knows chunks only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from texlith.llm._common import written
@@ -54,28 +57,60 @@ def chunked(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORD
     return _apart(df, chunks=F.when(F.col("text").isNotNull(), F.transform("_cuts", chunk))).drop("_lines", "_info", "_cuts")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
+def _who() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("who")
+
+
+def _repeated(each: DataFrame, text: str, often: DataFrame) -> DataFrame:
+    """key, place and `text` of the rows of each(h, key, place, text) whose bytes are those of their first one, without it."""
+    is_first = ((F.col("key") == F.col("first_key")) & (F.col("place") == F.col("first_place"))).alias("is_first")
+    met = written(each.join(often.hint("merge"), "h").select("h", "key", "place", text, is_first))
+    kept = met.where("is_first").select("h", F.col(text).alias("kept")).dropDuplicates(["h"])
+    return met.where("not is_first").join(kept.hint("merge"), "h").where(F.col(text).cast("binary") == F.col("kept").cast("binary"))
+
+
+def _often(each: DataFrame) -> DataFrame:
+    """Hashes that stand more than once, with key and place of the first."""
+    first = F.min(F.struct("who", "place")).alias("first")
+    return written(each.groupBy("h").agg(F.count("*").alias("n"), first).where("n > 1").select("h", F.col("first.who.key").alias("first_key"), F.col("first.place").alias("first_place")))
+
+
+def runs(keyed: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """key, runs of keyed(doc_id, key, text): arrays of struct(first, last), the lines of each repeated passage.
+
+    A run is a longest row of lines of which each two adjacent ones stand together at an earlier place (by doc_id, then
+    line), with more than `long_words` words in all. So a line never goes from the first place where it stands.
+    """
+    lines = _apart(keyed.where(F.col("text").isNotNull()).select("key", _who(), "text"), text=F.split("text", "\n", -1))
+    n = F.size("text") - 1
+    pairs = F.zip_with(F.slice("text", F.lit(1), n), F.slice("text", F.lit(2), n), lambda a, b: F.concat(a, F.lit("\n"), b))
+    each = lines.where(n > 0).select("key", "who", F.posexplode(pairs).alias("place", "pair")).withColumn("h", F.xxhash64("pair"))
+    again = _repeated(each, "pair", _often(each)).dropDuplicates(["key", "place"])
+    words = lambda at: _words(F.substring_index("pair", "\n", at))
+    again = again.select("key", "place", words(1).alias("words"), words(-1).alias("more"))
+    again = again.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("key").orderBy("place")))
+    each = again.groupBy("key", "run").agg(F.min("place").alias("first"), (F.max("place") + 1).alias("last"), (F.sum("words") + F.max_by("more", "place")).alias("words"))
+    return written(each.where(F.col("words") > long_words).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, divisor: int = DIVISOR, long_words: int = LONG_WORDS, short: bool = False) -> DataFrame:
     """doc_id, text, n_lines, n_removed for each row of docs(doc_id, text, ...): lines before, lines removed.
 
     A null text stays null with 0 lines. Rows equal in doc_id and text share one fate. A text whose lines all went is
-    ''. Chunks of fewer than `min_words` words are left alone. Other columns aren't read. An empty table gives no rows.
+    ''. Chunks of fewer than `min_words` words are left alone. With `short` the lines of `runs` go too. Other columns aren't read. An empty table gives no rows.
     What repeats has no size bound, so that all joins are merge joins, at any size; AQE splits a hot chunk's rows.
     """
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     whole = chunked(keyed, divisor, long_words)
-    each = whole.select("key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("who"), F.posexplode("chunks").alias("place", "c"))
+    each = whole.select("key", _who(), F.posexplode("chunks").alias("place", "c"))
     each = each.where((F.col("c.n_lines") > 1) | (F.length("c.chunk") > 2 * long_words))
     words = _words(F.col("c.chunk"))
     each = each.select("key", "who", "place", "c.chunk", F.xxhash64("c.chunk").alias("h")).where(F.when(F.expr("c.n_lines") > 1, words >= min_words).otherwise(words > long_words))
-    first = F.min(F.struct("who", "place")).alias("first")
-    often = written(each.groupBy("h").agg(F.count("*").alias("n"), first).where("n > 1").select("h", F.col("first.who.key").alias("first_key"), F.col("first.place").alias("first_place")))
-    met = each.join(often.hint("merge"), "h").select("h", "key", "place", "chunk", ((F.col("key") == F.col("first_key")) & (F.col("place") == F.col("first_place"))).alias("is_first"))
-    met = written(met)
-    kept = met.where("is_first").select("h", F.col("chunk").alias("kept")).dropDuplicates(["h"])
-    same = met.where("not is_first").join(kept.hint("merge"), "h").where(F.col("chunk").cast("binary") == F.col("kept").cast("binary"))
-    gone = written(same.groupBy("key").agg(F.collect_set("place").alias("gone")))
+    gone = written(_repeated(each, "chunk", _often(each)).groupBy("key").agg(F.collect_set("place").alias("gone")))
     out = whole.join(gone.hint("merge"), "key", "left")
     out = _apart(out, gone=F.coalesce("gone", F.array().cast("array<int>")))
+    if short:
+        return _without_lines(out.join(runs(keyed, long_words).hint("merge"), "key", "left"))
     left = F.filter("chunks", lambda c, i: ~F.array_contains("gone", i))
     out = _apart(out, left=left)
     lines = lambda column: F.coalesce(F.aggregate(column, F.lit(0), lambda n, c: n + c["n_lines"]), F.lit(0))
@@ -83,13 +118,22 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, divisor: int = DIVI
     return out.select("doc_id", text.alias("text"), lines("chunks").alias("n_lines"), (lines("chunks") - lines("left")).alias("n_removed"), "key")
 
 
+def _without_lines(out: DataFrame) -> DataFrame:
+    """dedup_lines' rows of out(key, doc_id, text, chunks, gone, runs): without lines of either kind."""
+    by_line = F.flatten(F.transform("chunks", lambda c, i: F.array_repeat(F.array_contains("gone", i), c["n_lines"])))
+    out = _apart(out, lines=F.split("text", "\n", -1), dropped=by_line, runs=F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>")))
+    out = _apart(out, left=F.filter("lines", lambda x, i: ~F.get("dropped", i) & ~F.exists("runs", lambda r: i.between(r["first"], r["last"]))))
+    size = lambda column: F.coalesce(F.when(F.col(column).isNotNull(), F.size(column)), F.lit(0))
+    return out.select("doc_id", F.array_join("left", "\n").alias("text"), size("lines").alias("n_lines"), (size("lines") - size("left")).alias("n_removed"), "key")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("key")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks removed from text, all other columns as they are; a row whose text was emptied goes."""
-    done = dedup_lines(docs).select(F.col("key").alias("_key"), F.col("text").alias("_new"), "n_removed").where("n_removed > 0").dropDuplicates(["_key"])
+    """docs with repeated chunks and short passages removed from text, all other columns as they are; a row whose text was emptied goes."""
+    done = dedup_lines(docs, short=True).select(F.col("key").alias("_key"), F.col("text").alias("_new"), "n_removed").where("n_removed > 0").dropDuplicates(["_key"])
     keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
     joined = keyed.join(done.hint("merge"), keyed["_row_key"] == done["_key"], "left")
     text = F.when(F.col("_key").isNotNull(), F.col("_new")).otherwise(F.col("text")).alias("text")
