@@ -213,6 +213,24 @@ def test_vector_searches(spark):
     assert hit / len(near) > 0.9 and exact_search.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("norms", ["equal", "lognormal", "one long"])
+def test_neighbours_are_found_with_any_norms(spark, norms):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "lognormal":
+        x *= np.exp(rng.normal(0, 0.5, 3000))[:, None]
+    if norms == "one long":
+        x[7] *= 10
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann_search.nearest(df).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert len(got) == 150 and all(len(v) == 20 for v in got.values())
+    hit = sum(len(v & set(np.argsort(-np.where(np.arange(3000) == q, -np.inf, x @ x[q]))[:20].tolist())) for q, v in got.items())
+    assert hit / 3000 > 0.99
+
+
 def test_sentencepiece(odd):
     path = public_tokenizers.path("piece_bpe_32k.model")
     with open(path, "rb") as f:

@@ -3,8 +3,9 @@
 Each block keeps, for each of m random directions, its vectors' projections in order. A query's buckets are windows
 around its own projections; virtual rehashing widens all of them by a factor each round. A vector that has fallen into
 at least a set share of the windows is verified by its exact inner product; rounds end when k verified vectors lie
-within a set share of the radius that the windows stand for, or enough vectors are verified. With one more component (vectors.lifted)
-the nearest vectors are those with the largest inner product.
+within a set share of the radius that the windows stand for. Once so many are verified that further rounds would cost
+more than the rest of the block, the rest is verified too. With one more component (vectors.lifted) the nearest vectors
+are those with the largest inner product.
 """
 
 from __future__ import annotations
@@ -61,8 +62,11 @@ class CollisionIndex:
                 far.append(verify(new))
                 verified += len(new)
             whole = (low == self.base).all() and (high == self.base + n).all()
-            if whole or verified >= enough or verified >= k and np.partition(np.concatenate(far), k - 1)[k - 1] <= sure * radius:
+            if whole or verified >= k and np.partition(np.concatenate(far), k - 1)[k - 1] <= sure * radius:
                 return np.concatenate(rows), np.concatenate(far)
+            if verified >= enough:
+                rest = np.flatnonzero(~done)
+                return np.concatenate([*rows, rest]), np.concatenate([*far, verify(rest)])
             radius *= factor
 
 
@@ -70,7 +74,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, share: float = 0.3
     """query_id, rank, vec_id, score: for each row of vectors(vec_id, embedding, ...) with an id divisible by `every`, the
     k other rows found with the largest inner products in double precision, ties to the smaller vec_id.
 
-    `share` of a block's rows, and k more, are verified at most before a round ends the search there; all rows are
+    Once `share` of a block's rows, and k more, are verified, all others of the block are as well; all rows are
     indexed. Rows that are null or zero or hold null or non-finite components take no part; other columns aren't read.
     Copies collide alike and are verified together, however many. Empty: no rows.
     """
@@ -84,8 +88,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, share: float = 0.3
             own = np.searchsorted(ids, [query_id, query_id + 1])
             copies = int(own[1] - own[0])
 
-            def distances(some: np.ndarray, unit: np.ndarray = unit) -> np.ndarray:
-                sims = (points @ unit)[some] if 4 * len(some) > len(points) else points[some] @ unit  # a long list is dearer to copy
+            every_sim: list[np.ndarray] = []
+
+            def distances(some: np.ndarray, unit: np.ndarray = unit, every_sim: list[np.ndarray] = every_sim) -> np.ndarray:
+                if not every_sim and 4 * len(some) > len(points):  # a long list is dearer to copy
+                    every_sim.append(points @ unit)
+                sims = every_sim[0][some] if every_sim else points[some] @ unit
                 return np.sqrt(np.maximum(2 - 2 * sims, 0))
 
             rows, far = index.candidates(unit, k + copies, k + copies + int(share * len(ids)), distances)
