@@ -165,6 +165,48 @@ def test_kneser_ney_equals_brute_force(spark):
     assert len(language_model.train(docs.select("text"), order=3).score([b"a b"])) == 4
 
 
+def test_query_scores_by_trigrams(spark):
+    """The query's scores equal brute force of an interpolated modified Kneser-Ney model of order 3."""
+    got = {r["doc_id"]: r for r in language_model.query(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    words = {r["doc_id"]: ["<s>", "<s>", *(w.decode("latin-1") for w in (r["text"] or "").encode().lower().split()), "</s>"] for r in docs}
+    counts = {3: Counter(), 2: Counter(), 1: Counter()}
+    for d, t in words.items():
+        if not got[d]["held_out"]:
+            counts[3].update(zip(t, t[1:], t[2:]))
+    for (_, b, c), k in counts[3].items():  # nothing stands before a begin: such pairs keep their counts
+        counts[2][b, c] += k if b == "<s>" else 1
+    counts[1].update(c for _, c in counts[2])
+    known = {w for d, t in words.items() if not got[d]["held_out"] for w in t[2:]}
+
+    def discounts(values):
+        t = Counter(values)
+        y = t[1] / (t[1] + 2 * t[2])
+        return [0, *(min(max(k - (k + 1) * y * t[k + 1] / t[k], 0), k) for k in (1, 2, 3))]
+
+    d = {n: discounts(c.values()) for n, c in counts.items()}
+    mass, held = {}, {}
+    for n in (2, 3):
+        mass[n], held[n] = Counter(), Counter()
+        for gram, k in counts[n].items():
+            mass[n][gram[:-1]] += k
+            held[n][gram[:-1]] += d[n][min(k, 3)]
+    total = counts[1].total()
+    back = sum(d[1][min(k, 3)] for k in counts[1].values()) / total / (len(known) + 1)
+    for doc, t in words.items():
+        want = 0.0
+        for i in range(2, len(t)):
+            k = counts[1][t[i]]
+            p = (k - d[1][min(k, 3)]) / total + back
+            for n in (2, 3):
+                before = tuple(t[i - n + 1 : i])
+                if mass[n][before]:
+                    k = counts[n][(*before, t[i])]
+                    p = (k - d[n][min(k, 3)]) / mass[n][before] + held[n][before] / mass[n][before] * p
+            want += math.log10(p)
+        assert got[doc]["score"] == pytest.approx(want, rel=1e-6)
+
+
 def test_line_dedup(spark, odd):
     block = "\n".join(f"line {i} of a passage that stands in two places" for i in range(12))
     docs = spark.createDataFrame([(1, "own start\n" + block), (2, "another one\n" + block + "\nand an end"), (3, None), (4, ""), (5, "one line")], "doc_id long, text string")

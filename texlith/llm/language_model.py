@@ -25,6 +25,8 @@ from texlith.llm._common import as_bytes, local_path, mixed, remove, shared_fold
 BEGIN, END = np.uint64(0x0B0E), np.uint64(0x0E0D)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FLUSH_TOKENS = 3_000_000
+#: Of the query's model.
+ORDER = 3
 _ROWS = "kind string, part int, data binary"
 
 
@@ -320,5 +322,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out and learned documents' scores by a model of order 3."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", held_out().alias("held_out"), F.col("text").cast("binary").alias("text"))
-    return score(docs, train(docs.where(~F.col("held_out")).select("text")))
+    return score(docs, train(docs.where(~F.col("held_out")).select("text"), order=ORDER))
