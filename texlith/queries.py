@@ -398,12 +398,12 @@ def auc_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _state(spark: SparkSession, sf_dir: str) -> scorer.State:
-    """A corpus from the reference texts: the first is the article, the next 30 are its comments, then come anchors and
-    negatives. An article's corpus is a parameter of the plan; what is scored is the whole of `conversations`."""
-    items = [r["text"] for r in table(spark, sf_dir, "benchmark").orderBy("item_id").limit(61).collect()]
-    held = [scorer.Submission(f"c{i:02d}", t[:60], t, C.STANCES[i % 4]) for i, t in enumerate(items[1:31], 1)]
-    rest = items[31:] or items[:1]
-    return scorer.State((items[0][:60], items[0]), held, rest[:5], [(t[:60], t) for t in rest[5:]])
+    """A corpus from all reference texts by item_id: the first is the article; of each twelve after it six are its
+    comments, one is an anchor and five are negatives. What is scored is the whole of `conversations`."""
+    items = [r["text"] for r in table(spark, sf_dir, "benchmark").orderBy("item_id").collect()]
+    dealt = [(i, t, (i - 1) % 12) for i, t in enumerate(items) if i]
+    held = [scorer.Submission(f"c{i:02d}", t[:60], t, C.STANCES[i % 4]) for i, t, k in dealt if k < 6]
+    return scorer.State((items[0][:60], items[0]), held, [t for _, t, k in dealt if k == 6] or items[:1], [(t[:60], t) for _, t, k in dealt if k > 6])
 
 
 def _submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
