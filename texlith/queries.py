@@ -440,11 +440,12 @@ def replay_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def submit_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations' first user turns submitted in order to one of eight articles, each with the same first corpus."""
+    """All turns of conversations submitted in order of (conv, turn) to one of eight articles, each with the same first
+    corpus; pos is a turn's place in its article."""
     from texlith.streaming.fold import submit_fold as fold
 
     state = _state(spark, sf_dir)
-    first = F.row_number().over(Window.partitionBy("conv").orderBy("turn"))
     rows = _submissions(spark, sf_dir).withColumn("conv", F.split("id", "-")[0].cast("long")).withColumn("turn", F.split("id", "-")[1].cast("long"))
-    rows = rows.withColumn("n", first).where("n = 1").select(F.concat(F.lit("a"), (F.col("conv") % 8).cast("string")).alias("article"), F.col("conv").alias("pos"), "id", "headline", "body", "stance")
-    return fold(rows, {f"a{k}": state for k in range(8)})
+    rows = rows.withColumn("article", F.concat(F.lit("a"), (F.col("conv") % 8).cast("string")))
+    pos = F.row_number().over(Window.partitionBy("article").orderBy("conv", "turn")).cast("long").alias("pos")
+    return fold(rows.select("article", pos, "id", "headline", "body", "stance"), {f"a{k}": state for k in range(8)})
