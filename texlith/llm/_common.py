@@ -2,60 +2,122 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
+from functools import lru_cache, wraps
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a worker turns into arrays at once.
 SLICE_BYTES = 1 << 21
 #: The same for words, whose arrays take about 50 bytes for each byte of text.
 WORD_BYTES = 1 << 19
 
-_rng = np.random.default_rng(971_341)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_KEY, _ODD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
+#: Longer spans are hashed one by one.
+_LONG_SPAN = 256
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir; below this machine's temporary folder only where that is unset."""
+    """A new folder's path below spark.checkpoint.dir. Where that is unset a local master gets a folder of this machine; any other raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="texlith-")
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + _own_folder()
     return f"{base.rstrip('/')}/texlith-{uuid.uuid4().hex}"
 
 
-def local_path(path: str) -> str | None:
+@lru_cache(1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="texlith-")
+
+
+def local_path(spark: SparkSession, path: str) -> str | None:
     """The path as the operating system knows it, or None if only Spark can open it."""
-    if path.startswith("file:"):
-        return "/" + path[len("file:") :].lstrip("/")
-    return path if path.startswith("/") else None
+    scheme = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+    return "/" + path.removeprefix("file:").lstrip("/") if scheme == "file" else None
+
+
+#: Tables of the operators that are being called, innermost last.
+_open: list[list[str]] = []
 
 
 def written(df: DataFrame, compression: str = "zstd", path: str | None = None) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts lineage and survives a lost executor."""
+    """The rows as a Parquet table in the shared folder: cuts lineage and survives a lost executor. Rows that can't be read back raise."""
     spark, path = df.sparkSession, path or shared_folder(df.sparkSession)
-    schema = df.schema
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    if _open:
+        _open[-1].append(path)
+    schema, check = df.schema, local_path(spark, path) is not None and not is_local(spark)
+    seen = Observation()
+    (df.observe(seen, F.count(F.lit(1)).alias("n")) if check else df).write.option("compression", compression).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    if check and out.count() != seen.get["n"]:
+        raise RuntimeError(f"{path} lacks rows that were written: it isn't a folder that the driver and all executors share")
+    out.shared_path = path
+    return out
+
+
+def free(*tables: DataFrame | None) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for table in tables:
+        if path := getattr(table, "shared_path", None):
+            remove(table.sparkSession, path)
 
 
 @contextmanager
 def held(df: DataFrame, compression: str = "zstd") -> Iterator[DataFrame]:
     """The rows as such a table for the time of the block."""
     path = shared_folder(df.sparkSession)
-    yield written(df, compression, path)
-    remove(df.sparkSession, path)
+    try:
+        yield written(df, compression, path)
+    finally:
+        remove(df.sparkSession, path)
+
+
+def cleaned(operator: Callable) -> Callable:
+    """Tables that an operator wrote go if it fails; those that its result reads go when the process ends."""
+
+    @wraps(operator)
+    def call(*args, **kwargs):
+        _open.append([])
+        try:
+            return operator(*args, **kwargs)
+        except BaseException:
+            for path in _open[-1]:
+                remove(SparkSession.getActiveSession(), path)
+            raise
+        finally:
+            _left.extend(_open.pop())
+
+    return call
+
+
+_left: list[str] = []
+
+
+@atexit.register
+def _remove_left() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in _left if spark is not None else []:
+        with suppress(Exception):  # the JVM may be gone
+            remove(spark, path)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -67,21 +129,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_arrays(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        for key, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            grown = np.full(max(n, 1 << 16), base, np.uint64)
-            grown[0] = 1
-            _powers[key] = np.multiply.accumulate(grown)
-    return _powers["up"], _powers["down"]
+def blocks(data: bytes, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The first min(length, 8) bytes at each place as a number, of data that goes on for 8 bytes after the last place."""
+    every = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+    return every[at] & (_ALL >> (np.uint64(8) * (8 - np.minimum(length, 8)).astype(np.uint64)))
+
+
+_ALL = np.uint64(2**64 - 1)
+
+
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], none of them empty, the same wherever the bytes stand; 8 bytes a round, each round mixed by a bijection."""
+    data, length = bytes(data) + bytes(8), ends - starts
+    h = mixed(length.astype(np.uint64) * _ODD + _KEY)
+    h = mixed(h ^ blocks(data, starts, length))
+    live = np.flatnonzero((length > 8) & (length <= _LONG_SPAN))
+    at = 8
+    while len(live):
+        h[live] = mixed((h[live] * _ODD + _KEY) ^ blocks(data, starts[live] + at, length[live] - at))
+        at += 8
+        live = live[length[live] > at]
+    for i in np.flatnonzero(length > _LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], the same wherever the bytes stand."""
-    up, down = _power_arrays(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+def same_spans(data: bytes, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether data[a:a + length] and data[b:b + length] have the same bytes."""
+    data, out, at = bytes(data) + bytes(8), np.ones(len(a), bool), 0
+    live = np.flatnonzero(a != b)
+    while len(live):
+        x, y, n = a[live] + at, b[live] + at, length[live] - at
+        out[live] = blocks(data, x, n) == blocks(data, y, n)
+        at += 8
+        live = live[out[live] & (length[live] > at)]
+    return out
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -114,8 +196,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.zeros(len(texts) + 1, np.int64)
     out = []
     for a, b in slices([len(p) for _, p in parts], WORD_BYTES):
-        data = np.frombuffer(b" " + b" ".join(p for _, p in parts[a:b]).lower() + b" ", np.uint8)
-        space = SPACE[data]
+        data = b" " + b" ".join(p for _, p in parts[a:b]).lower() + b" "
+        space = SPACE[np.frombuffer(data, np.uint8)]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         starts, ends = edge[0::2], edge[1::2]
         out.append(span_hashes(data, starts, ends))

@@ -1,8 +1,8 @@
 """Byte-level BPE over ragged numpy arrays, from a public tokenizer's JSON file.
 
 Texts are split into pre-tokens by the byte-level rule (contractions, an optional space before a run of letters,
-numbers or other signs, runs of white space) with array operations; each distinct pre-token of a batch is merged
-once. Merging is rank-synchronous: in each round every live sequence applies its lowest-ranked pair at all its
+numbers or other signs, runs of white space) with array operations; each distinct pre-token of a batch, told by a hash
+and then by its bytes, is merged once. Merging is rank-synchronous: in each round every live sequence applies its lowest-ranked pair at all its
 places (left to right where they overlap); a sequence without a known pair leaves the round with its symbols.
 """
 
@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from texlith.llm._common import SLICE_BYTES, slices, span_hashes
+from texlith.llm._common import SLICE_BYTES, same_spans, slices, span_hashes
 
 _NONE = np.int32(2**31 - 1)
 _LETTER, _NUMBER, _OTHER, _WHITE = 1, 2, 3, 0
@@ -181,10 +181,17 @@ class ByteBpe:
         starts = pre_token_starts(points, firsts)
         width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
         at = np.append(0, np.cumsum(width))
-        data = np.frombuffer(joined.encode("utf-8", "replace"), np.uint8)
+        raw = joined.encode("utf-8", "replace")
+        data = np.frombuffer(raw, np.uint8)
         begin, end = at[starts], at[np.append(starts[1:], len(points))]
-        _, example, which = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
-        begin, length = begin[example], (end - begin)[example]
+        length = end - begin
+        _, example, which = np.unique(span_hashes(raw, begin, end), return_index=True, return_inverse=True)
+        alike = length == length[example][which]
+        alike[alike] = same_spans(raw, begin[alike], begin[example][which[alike]], length[alike])
+        other = np.flatnonzero(~alike)  # of the same hash only: each is its own example
+        which[other] = len(example) + np.arange(len(other))
+        example = np.append(example, other)
+        begin, length = begin[example], length[example]
         first = np.append(0, np.cumsum(length))
         place = np.arange(first[-1]) - np.repeat(first[:-1] - begin, length)
         symbols, bounds = self.merge(self.byte_ids[data[place]], first[:-1])

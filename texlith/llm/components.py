@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from texlith.llm._common import written
+from texlith.llm._common import free, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,8 +27,11 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = written(small.select("e.u", "e.v").where("u <> v").distinct())
+        old, edges = edges, written(small.select("e.u", "e.v").where("u <> v").distinct())
         before, state = state, _state(edges)
+        free(old)
         if before == state:
             break
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("label"))).distinct()
+    out = edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("label"))).distinct()
+    out.shared_path = edges.shared_path
+    return out

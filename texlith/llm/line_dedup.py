@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from texlith.llm._common import written
+from texlith.llm._common import cleaned, written
 
 DIVISOR = 3
 LONG_WORDS = 50
@@ -93,6 +93,7 @@ def runs(keyed: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     return written(each.where(F.col("words") > long_words).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
 
 
+@cleaned
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, divisor: int = DIVISOR, long_words: int = LONG_WORDS, short: bool = False) -> DataFrame:
     """doc_id, text, n_lines, n_removed for each row of docs(doc_id, text, ...): lines before, lines removed.
 

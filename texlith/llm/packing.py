@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from texlith.llm._common import as_texts, written
+from texlith.llm._common import as_texts, cleaned, written
 from texlith.llm.bpe import loaded
 
 _RANK_BITS = 44
@@ -72,6 +72,7 @@ def plan(histogram: np.ndarray, capacity: int) -> pd.DataFrame:
     return pd.DataFrame(slots, columns=["length", "first", "times", "base", "offset"]).astype(np.int64)
 
 
+@cleaned
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, salts: int = 256) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of docs(doc_id, text, ...).
 

@@ -217,14 +217,16 @@ def encode_and_decode(docs: DataFrame, path: str, verify: bool = True, texts: bo
             for a, b in slices([len(t) for t in given]):
                 some = given[a:b]
                 gc.disable()  # a slice makes millions of objects and no cycles
-                packed = codec.encode_bytes(some)
-                ids = [np.frombuffer(x, "<u4").tolist() for x in packed]
-                back = codec.decode(ids)
-                same = _reference(path).encode(some, num_threads=1) if verify else None
-                for i, x in enumerate(ids):
-                    row = (len(x), zlib.crc32(packed[i]), back[i] == some[i], x == same[i] if verify else None)
-                    out.append((*row, x, back[i]) if texts else row)
-                gc.enable()
+                try:
+                    packed = codec.encode_bytes(some)
+                    ids = [np.frombuffer(x, "<u4").tolist() for x in packed]
+                    back = codec.decode(ids)
+                    same = _reference(path).encode(some, num_threads=1) if verify else None
+                    for i, x in enumerate(ids):
+                        row = (len(x), zlib.crc32(packed[i]), back[i] == some[i], x == same[i] if verify else None)
+                        out.append((*row, x, back[i]) if texts else row)
+                finally:
+                    gc.enable()
             made = pd.DataFrame(out, columns=names)
             made.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield made.astype({"doc_id": "Int64"})

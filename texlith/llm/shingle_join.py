@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texlith.llm._common import WORD_BYTES, as_bytes, held, mixed, slices, summed, word_hashes, written
+from texlith.llm._common import WORD_BYTES, as_bytes, cleaned, free, held, mixed, slices, summed, word_hashes, written
 from texlith.llm.components import connected_components
 
 WORDS = 5
@@ -52,7 +52,8 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> Iterator[np.ndarray]
         n = np.diff(first)
         full = mixed(hashes + np.uint64(words))
         for j in range(1, words):
-            full[: len(hashes) - j] = mixed(full[: len(hashes) - j] * _ODD + hashes[j:])
+            left = max(0, len(hashes) - j)
+            full[:left] = mixed(full[:left] * _ODD + hashes[len(hashes) - left :])
         for i, k in enumerate(n.tolist()):
             if k >= words:
                 yield np.unique(full[first[i] : first[i + 1] - words + 1])
@@ -310,6 +311,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
                 return written(near.join(of("b", "sy"), "b").join(of("a", "sx"), "a").mapInPandas(linked, "a long, b long"))
 
 
+@cleaned
 def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, key, n_shingles, component_id, kept for each row of docs(doc_id, text, ...).
 
@@ -338,20 +340,25 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         found = _verified(pairs, docs, reps, percent)
         known = pairs if known is None else known.unionAll(pairs)
         links = found if links is None else links.unionAll(found)
-        labels = written(connected_components(links))
+        reached = connected_components(links)
+        free(labels)
+        labels = written(reached)
         fresh = placed.drop("label").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
         fresh = written(fresh)
         # Signatures of the same sets in the same roles give the same pairs: one of them stays.
         marks = [F.sum(F.xxhash64("set_id", "role", F.lit(k)).cast("decimal(38,0)")).alias(f"mark{k}") for k in range(2)]
         still = fresh.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *marks).where("lo <> hi")
-        placed = written(fresh.join(still.groupBy("mark0", "mark1").agg(F.min("sig").alias("sig")), "sig", "left_semi"))
+        old, placed = placed, written(fresh.join(still.groupBy("mark0", "mark1").agg(F.min("sig").alias("sig")), "sig", "left_semi"))
+        free(old, fresh, reached)
 
     for turn in range(_TURNS):
         drawn = F.struct(F.xxhash64("set_id", F.lit(turn)).alias("draw"), "set_id", "n", "label")
         pivots = placed.groupBy("sig").agg(F.min(drawn).alias("p")).select("sig", "p.set_id", "p.n", "p.label")
-        met = written(pivots).alias("x").join(placed.alias("y"), "sig").where(f"x.set_id <> y.set_id and {close}")
+        pivots = written(pivots)
+        met = pivots.alias("x").join(placed.alias("y"), "sig").where(f"x.set_id <> y.set_id and {close}")
         shared = met.groupBy(F.col("y.set_id").alias("a"), F.col("x.set_id").alias("b")).agg(F.count("*").alias("sigs"))
         compared(shared.groupBy("a").agg(F.max(F.struct("sigs", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
+        free(pivots)
     larger = "(x.n > y.n or x.n = y.n and x.set_id > y.set_id)"
     least = "least(size(x.short), size(y.short))"
     folded = "if(size({0}.short) > {1}, zip_with(slice({0}.short, 1, {1}), slice({0}.short, {1} + 1, {1}), (v, w) -> v ^ w), {0}.short)"
@@ -368,6 +375,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     member = reps.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "n", "first", F.coalesce("label", "set_id").alias("label"))
     leasts = member.groupBy("label").agg(F.min("first").alias("least"))
     of_set = written(member.join(leasts, "label").select("set_id", "n", "least"))
+    free(placed, labels, reps)
     out = nodes.drop("parity", "short").join(of_set, ["set_id", "n"], "left")
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), ((F.col("n") == 0) | (F.col("key") == F.col("least.key"))).alias("kept"))
 
@@ -377,7 +385,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The columns and rows of docs, one row for each component of near copies; rows without words all stay once each."""
+    """The columns and rows of docs, one row for each component of near copies: that of its smallest doc_id (a null one comes last).
+
+    Rows without words (or null) all stay; rows equal in doc_id and text are one; an empty table stays empty. Columns
+    named as the join's own are carried like any other.
+    """
     kept = link_components(docs).where("kept").select("key").distinct()
     keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
     return keyed.join(kept, keyed["_row_key"] == kept["key"], "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
