@@ -132,7 +132,7 @@ def test_language_model(spark, odd, monkeypatch):
 
 def test_kneser_ney_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "cast(text as binary) as text").withColumn("held_out", language_model.held_out())
-    got = {r["doc_id"]: r for r in language_model.score(docs, language_model.train(docs.where("not held_out").select("text"))).collect()}
+    got = {r["doc_id"]: r for r in language_model.score(docs, language_model.train(docs.where("not held_out").select("text"), order=2)).collect()}
     words = {r["doc_id"]: [*bytes(r["text"]).lower().split(), b"</s>"] for r in docs.collect()}
     single, pair = Counter(), Counter()
     for d, t in words.items():

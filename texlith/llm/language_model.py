@@ -1,14 +1,22 @@
 """Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, scored from mapped files.
 
-Words are 64-bit hashes. Map tasks send the distinct n-grams of a few million tokens, with counts, as arrays for each
-part of the hash range; a part's task adds them up and writes the part's sorted keys and counts as array files into the
-shared folder. It hands on what its contexts sum to and which shorter n-grams its n-grams continue (each once), which
-are added up in the same way, level by level down to single words. Nothing but the counts of counts of each level
-reaches the driver. Workers map the files and look up the sorted n-grams of a slice of texts range by range.
+First the words are counted: their 64-bit hashes stand in sorted arrays, one file for each part of the hash range, and
+are numbered, frequent ones first. Then map tasks send the distinct n-grams of a few million tokens, as
+numbers and counts in packed arrays, to the parts of a hash of the n-gram; a part's task adds them up and writes its
+array file into the shared folder. It hands on what its contexts sum to and which shorter n-grams its n-grams continue
+(each once), which are added up in the same way, level by level down to single words. A context's sums stand beside the
+count of the n-gram that it is. Nothing but a few numbers a part and level reaches the driver: counts of counts, and the
+size of the part's file, so that a missing or short file raises.
+
+A file's keys are sorted hashes, cut to 28 bits more than it takes to number them, so that an n-gram that was never seen
+is taken for a seen one once in 200 million times, whatever the corpus' size; the first bits are in an index of their
+first places, the other 32 in an array. Counts and totals are bytes, with the few over 254 apart; only contexts that
+stand more than once have numbers of their followers. Workers map the files and look up a slice's n-grams at once.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -16,17 +24,26 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texlith.llm._common import as_bytes, local_path, mixed, remove, shared_folder, slices, word_hashes, written
+from texlith.llm._common import as_bytes, cleaned, local_path, mixed, shared_folder, slices, word_hashes
 
 BEGIN, END = np.uint64(0x0B0E), np.uint64(0x0E0D)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_FLUSH_TOKENS = 3_000_000
+_FLUSH_TOKENS = 2_000_000
+#: Bytes of text for each part of the hash range.
+PART_BYTES = 3 << 22
 #: Of the query's model.
 ORDER = 3
+#: Discounts for n-grams seen once, twice and more often, where too few are seen 1 to 4 times to estimate them.
+FALLBACK = (0.5, 1.0, 1.5)
+#: Keys a bucket of a file's index holds in the mean, as a power of two.
+_BUCKET_BITS = 4
+#: Classes of words by count, in whose order they are numbered, so that frequent words have small numbers.
+_CLASSES = 16
 _ROWS = "kind string, part int, data binary"
 
 
@@ -44,10 +61,10 @@ def padded(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def key_of(columns: list[np.ndarray]) -> np.ndarray:
-    """One hash for each n-gram; its words one after another, the first first."""
-    key = np.zeros(len(columns[-1]), np.uint64) + np.uint64(len(columns))
+    """One hash for each n-gram of numbers; its words one after another, the first first."""
+    key = np.full(len(columns[-1]), len(columns), np.uint64)
     for c in columns:
-        key = mixed(key * _ODD + c)
+        key = mixed(key * _ODD + c.astype(np.uint64))
     return key
 
 
@@ -56,88 +73,231 @@ def part_of(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _packed(arrays: list[np.ndarray]) -> bytes:
-    return b"".join([np.int64(len(arrays[0])).tobytes(), *(a.astype(np.uint64).tobytes() for a in arrays)])
+def within_part(key: np.ndarray, parts: int) -> np.ndarray:
+    """A key's place in its part's range, as a fraction of 64 bits; in the order of keys."""
+    return (key >> np.uint64(32)) * np.uint64(parts) << np.uint64(32) | key & np.uint64(2**32 - 1)
 
 
-def _unpacked(blobs, width: int) -> list[np.ndarray]:
-    parts = [np.frombuffer(b, np.uint64, offset=8).reshape(width, -1) for b in blobs]
-    return list(np.concatenate(parts, axis=1)) if parts else [np.zeros(0, np.uint64)] * width
+def _class(counts: np.ndarray) -> np.ndarray:
+    """Words by the powers of two of their counts, the most frequent first."""
+    return _CLASSES - 1 - np.minimum(np.log2(counts).astype(np.int64), _CLASSES - 1)
 
 
-def _summed(key: np.ndarray, arrays: list[np.ndarray], sums: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct keys in order; of `arrays` the last `sums` are added up, of the others any value is the key's."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    out = [a[order][first] if i < len(arrays) - sums else np.add.reduceat(a[order], first) if len(first) else a for i, a in enumerate(arrays)]
-    return key[first], out
+def _small(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
 
 
-def _sent(kind: str, key: np.ndarray, arrays: list[np.ndarray], parts: int) -> list[tuple[str, int, bytes]]:
-    """Rows for the parts that have any; a part's n-grams stand by their first word, whose repetitions compress."""
-    cuts = np.searchsorted(part_of(key, parts), np.arange(parts + 1))
-    out = []
+def _runs(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal numbers begin, and how long each is."""
+    begin = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+    return begin, np.diff(np.append(begin, len(first)))
+
+
+def _packed(columns: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
+    """N-grams in order and their counts, compressed: the first two columns as differences, and bytes of the same weight together."""
+    arrays, out = [np.diff(columns[0], prepend=columns[0][:0].dtype.type(0)), *columns[1:], *counts], []
+    if len(columns) > 1:
+        second = np.diff(columns[1].astype(np.int64), prepend=0)
+        begin, _ = _runs(columns[0])
+        second[begin] = columns[1][begin]
+        arrays[1] = second
+    for a in arrays:
+        a = _small(a)
+        out += [np.array([len(a), a.itemsize], np.int64).tobytes(), a.view(np.uint8).reshape(len(a), -1).T.tobytes()]
+    return zstandard.compress(b"".join(out), 1)
+
+
+def _unpacked(blobs, columns: int, counts: int) -> list[np.ndarray]:
+    """The arrays of all blobs in a row, as wide as their largest numbers need."""
+    parts = []
+    for blob in blobs:
+        data, at, arrays = zstandard.decompress(blob), 0, []
+        while at < len(data):
+            n, size = np.frombuffer(data, np.int64, 2, at).tolist()
+            arrays.append(np.frombuffer(data, np.uint8, n * size, at + 16).reshape(size, n).T.copy().view(f"<u{size}").ravel())
+            at += 16 + n * size
+        first = np.cumsum(arrays[0], dtype=np.uint64)
+        if columns > 1:
+            begin, length = _runs(first)
+            total = np.cumsum(arrays[1], dtype=np.uint64)
+            arrays[1] = _small(total - np.repeat(total[begin] - arrays[1][begin], length))
+        parts.append([_small(first), *arrays[1:]])
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64)] * (columns + counts)
+
+
+def _cuts(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that occurs and where, in order."""
+    order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
     for k in np.flatnonzero(np.diff(cuts)).tolist():
-        own = [a[cuts[k] : cuts[k + 1]] for a in arrays]
-        order = np.argsort(own[0], kind="stable")
-        out.append((kind, k, _packed([a[order] for a in own])))
+        yield k, order[cuts[k] : cuts[k + 1]]
+
+
+def _sent(kind: str, columns: list[np.ndarray], counts: list[np.ndarray], parts: int) -> list[tuple[str, int, bytes]]:
+    """Rows of packed arrays for the parts that have any of the n-grams, which are in order."""
+    return [(kind, k, _packed([c[at] for c in columns], [c[at] for c in counts])) for k, at in _cuts(part_of(key_of(columns), parts), parts)]
+
+
+def _firsts(columns: list[np.ndarray]) -> np.ndarray:
+    """Where the first of equal rows stands among rows in order."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0)))
+
+
+def _added(counts: list[np.ndarray], first: np.ndarray) -> list[np.ndarray]:
+    return [np.add.reduceat(c, first, dtype=np.uint64) if len(first) else c.astype(np.uint64) for c in counts]
+
+
+def _summed(columns: list[np.ndarray], counts: list[np.ndarray], kinds: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The distinct n-grams of numbers below `kinds` in order, and their counts added up (without counts: how often each stands)."""
+    bits = max(1, (kinds - 1).bit_length())
+    if bits * len(columns) > 64:
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        first = _firsts(columns)
+        return [c[first] for c in columns], _added([c[order] for c in counts], first) if counts else [np.diff(np.append(first, len(order)))]
+    whole = columns[0].astype(np.uint64)
+    for c in columns[1:]:
+        whole = whole << np.uint64(bits) | c.astype(np.uint64)
+    if counts:
+        order = np.argsort(whole)
+        whole = whole[order]
+        first = _firsts([whole])
+        whole, counts = whole[first], _added([c[order] for c in counts], first)
+    else:
+        whole, n = np.unique(whole, return_counts=True)
+        counts = [n]
+    mask = np.uint64(2**bits - 1)
+    return [(whole >> np.uint64(bits * k) & mask).astype(np.min_scalar_type(kinds)) for k in range(len(columns) - 1, -1, -1)], counts
+
+
+def _file(arrays: dict[str, np.ndarray]) -> bytes:
+    """Arrays in one file: a line that says what they are, then each at a multiple of 8 bytes."""
+    head = json.dumps([(k, a.dtype.str, len(a)) for k, a in arrays.items()]).encode()
+    out = [head + b" " * (-(len(head) + 1) % 8) + b"\n"]
+    for a in arrays.values():
+        out += [a.tobytes(), bytes(-a.nbytes % 8)]
+    return b"".join(out)
+
+
+def _mapped(data: np.ndarray) -> dict[str, np.ndarray]:
+    head = bytes(data[: 1 << 12]).split(b"\n", 1)[0]
+    at, out = len(head) + 1, {}
+    for name, kind, n in json.loads(head):
+        size = n * np.dtype(kind).itemsize
+        out[name] = data[at : at + size].view(kind)
+        at += size + -size % 8
     return out
 
 
+def _bytes_of(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Numbers as bytes, with places and values of those that are over 254."""
+    at = np.flatnonzero(values >= 255)
+    return {name: np.minimum(values, 255).astype(np.uint8), f"{name}_at": at.astype(np.uint32), f"{name}_more": values[at].astype(np.uint64)}
+
+
+def _bytes_at(held: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    out = held[name][at].astype(np.int64)
+    large = np.flatnonzero(out == 255)
+    out[large] = held[f"{name}_more"][np.searchsorted(held[f"{name}_at"], at[large])]
+    return out
+
+
+def gram_file(columns: list[np.ndarray], count: np.ndarray, context: list[np.ndarray] | None, parts: int) -> bytes:
+    """A part's n-grams with their counts and, as contexts, totals and numbers of followers seen once, twice, and more often."""
+    place = within_part(key_of(columns), parts)
+    order = np.argsort(place)
+    place = place[order]
+    bits = max(0, (max(1, len(place)) - 1).bit_length() - _BUCKET_BITS)
+    bucket = place >> np.uint64(64 - bits) if bits else np.zeros(len(place), np.uint64)
+    index = np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+    arrays = {"index": index, "rest": (place >> np.uint64(32 - bits)).astype(np.uint32), **_bytes_of("count", count[order])}
+    if context is not None:
+        total, *seen = (c[order] for c in context)
+        often = np.flatnonzero(total > 1)
+        arrays |= _bytes_of("total", total) | {"often": often.astype(np.uint32)} | {f"seen{k}": _small(s[often]) for k, s in enumerate(seen, 1)}
+    return _file(arrays)
+
+
+def look_up(held: dict[str, np.ndarray], key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the keys a file has, and their places in its arrays."""
+    index, rest = held["index"], held["rest"]
+    bits = (len(index) - 1).bit_length() - 1
+    place = within_part(key, parts)
+    bucket = (place >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+    wanted = (place >> np.uint64(32 - bits)).astype(np.uint32)
+    low, high = index[bucket].astype(np.int64), index[bucket + 1].astype(np.int64)
+    end = high.copy()
+    for _ in range(int((high - low).max(initial=0)).bit_length()):
+        middle = (low + high) >> 1
+        less = (rest[np.minimum(middle, len(rest) - 1)] < wanted) & (low < high)
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+    hit = np.flatnonzero(low < end)
+    hit = hit[rest[low[hit]] == wanted[hit]]
+    return hit, low[hit]
+
+
 class Store:
-    """Array files in a folder that driver and executors share.
+    """Files in a folder that driver and executors share.
 
     Where the shared folder is a path of the file system, tasks write the files there and workers map them in place. In
-    a store that only Spark opens, tasks return the arrays as table rows, the table's files go to each executor by
-    addFile, and the first worker that needs an array unpacks it beside them.
+    a store that only Spark opens, tasks return the files as table rows, the table goes to each executor by addFile, and
+    the first worker that needs a file unpacks them beside it.
     """
 
     def __init__(self, spark: SparkSession, mapped: bool | None = None):
         self.folder = shared_folder(spark)
-        self.direct = local_path(self.folder) if mapped is not False else None
+        self.direct = local_path(spark, self.folder) if mapped is not False else None
+        self.tables: list[str] = []
 
-    def write(self, name: str, array: np.ndarray) -> list[tuple[str, int, bytes]]:
+    def write(self, level: int, part: int, data: bytes) -> list[tuple[str, int, bytes]]:
+        name = f"n{level}-{part}"
         if not self.direct:
-            return [(f"file {name} {array.dtype.str}", 0, array.tobytes())] if len(array) else []
+            return [(f"file {name}", part, data)]
         os.makedirs(self.direct, exist_ok=True)
         held = f"{self.direct}/.{name}-{uuid.uuid4().hex}"
-        array.tofile(held)
+        with open(held, "wb") as f:
+            f.write(data)
         os.replace(held, f"{self.direct}/{name}")  # a task that runs again writes the same
         return []
 
-    def share(self, spark: SparkSession, tables: list[DataFrame]) -> None:
-        if not self.direct:
-            for k, table in enumerate(tables):
-                path = f"{self.folder}-{k}"
-                table.where(F.col("kind").startswith("file ")).write.option("compression", "none").parquet(path)
-                spark.sparkContext.addFile(path, recursive=True)
-            self.count = len(tables)
-
-    def read(self, name: str, kind) -> np.ndarray:
-        folder = self.direct or _unpack(self.folder, self.count)
-        path = f"{folder}/{name}"
-        if not os.path.exists(path) or not os.path.getsize(path):
-            return np.zeros(0, kind)
-        return np.memmap(path, kind, "r")
+    def ran(self, rows: DataFrame) -> DataFrame:
+        """Runs the tasks; gives the rows that are no files, and shares the files."""
+        if self.direct:
+            return rows
+        path = f"{self.folder}-{len(self.tables)}"
+        rows.write.option("compression", "none").parquet(path)
+        rows = rows.sparkSession.read.schema(_ROWS).parquet(path)
+        rows.where(F.col("kind").startswith("file ")).write.option("compression", "none").parquet(f"{path}-files")
+        rows.sparkSession.sparkContext.addFile(f"{path}-files", recursive=True)
+        self.tables.append(os.path.basename(path) + "-files")
+        return rows.where(~F.col("kind").startswith("file "))
+
+    def read(self, name: str, size: int) -> np.ndarray:
+        """The file's bytes; one that isn't there or isn't of this size raises."""
+        path = f"{self.direct or _unpack(tuple(self.tables))}/{name}"
+        if os.path.getsize(path) != size:
+            raise OSError(f"{path} doesn't have the {size} bytes that were written")
+        return np.asarray(np.memmap(path, np.uint8, "r"))
 
 
 @lru_cache(4)
-def _unpack(folder: str, count: int) -> str:
-    """Arrays from an executor's copies of the tables, unpacked once for all its workers."""
+def _unpack(tables: tuple[str, ...]) -> str:
+    """Files from an executor's copies of the tables, unpacked once for all its workers."""
     import fcntl
 
     import pyarrow.parquet as pq
 
-    to = os.path.join(SparkFiles.getRootDirectory(), os.path.basename(folder) + "-arrays")
+    to = os.path.join(SparkFiles.getRootDirectory(), tables[-1] + "-unpacked")
     with open(to + ".lock", "w") as lock:
         fcntl.flock(lock, fcntl.LOCK_EX)
         if not os.path.exists(to):
             os.makedirs(to + ".part", exist_ok=True)
-            for k in range(count):
-                top = SparkFiles.get(f"{os.path.basename(folder)}-{k}")
+            for table in tables:
+                top = SparkFiles.get(table)
                 for f in sorted(x for x in os.listdir(top) if x.endswith(".parquet")):
-                    for batch in pq.ParquetFile(os.path.join(top, f)).iter_batches(16):
+                    for batch in pq.ParquetFile(os.path.join(top, f)).iter_batches(4):
                         for row in batch.to_pylist():
                             with open(f"{to}.part/{row['kind'].split(' ')[1]}", "wb") as out:
                                 out.write(row["data"])
@@ -146,159 +306,218 @@ def _unpack(folder: str, count: int) -> str:
 
 
 class Model:
-    """What tasks need besides the files: order, parts, discounts and totals by level."""
+    """What tasks need besides the files: order, parts, the files' sizes by level and part, first numbers of the parts' words, discounts and totals."""
 
     def __init__(self, store: Store, order: int, parts: int):
         self.store, self.order, self.parts = store, order, parts
         self.discount: dict[int, np.ndarray] = {}
+        self.sizes = {n: np.zeros(parts, np.int64) for n in range(order + 1)}
+        self.base = np.zeros((_CLASSES, parts), np.int64)
         self.train_tokens = self.vocabulary = 0
         self.total = self.backoff = 0.0
-        self._files: dict = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"_files": {}}
-
-    def _file(self, name: str, kind) -> np.ndarray:
-        if name not in self._files:
-            self._files[name] = self.store.read(name, kind)
-        return self._files[name]
-
-    def look(self, level: str, key: np.ndarray, kinds: list) -> list[np.ndarray]:
-        """Values of keys from a level's files, 0 for those it hasn't."""
-        wanted, back = np.unique(key, return_inverse=True)
-        out = [np.zeros(len(wanted), k) for k in kinds]
-        cuts = np.searchsorted(part_of(wanted, self.parts), np.arange(self.parts + 1))
-        for p in np.flatnonzero(np.diff(cuts)).tolist():
-            keys = self._file(f"{level}-{p}-key", np.uint64)
-            if not len(keys):
+
+    @property
+    def kinds(self) -> int:
+        """Numbers of words, and one for a begin."""
+        return self.vocabulary + 1
+
+    def _held(self, level: int, part: int) -> dict[str, np.ndarray]:
+        """A file's arrays, mapped as long as they are looked at: a worker has the pages of one part at a time."""
+        return _mapped(self.store.read(f"n{level}-{part}", int(self.sizes[level][part])))
+
+    def numbers(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (-1: unknown) and counts of distinct words in order."""
+        ids, raw = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
+        for p, at in _cuts(part_of(words, self.parts), self.parts):
+            if self.sizes[0][p]:
+                held = self._held(0, p)
+                place = np.minimum(np.searchsorted(held["word"], words[at]), len(held["word"]) - 1)
+                hit = held["word"][place] == words[at]
+                raw[at[hit]] = held["raw"][place[hit]]
+                ids[at[hit]] = self.base[_class(raw[at[hit]]), p] + held["rank"][place[hit]]
+        ids[words == BEGIN] = self.vocabulary
+        return ids, raw
+
+    def look(self, level: int, columns: list[np.ndarray]) -> list[np.ndarray]:
+        """Counts of n-grams of numbers, and below the highest level their totals and what they leave to shorter contexts; 0 for those that weren't seen."""
+        known = np.flatnonzero(np.all([c >= 0 for c in columns], axis=0))
+        wanted, back = np.unique(key_of([c[known] for c in columns]), return_inverse=True)
+        out = [np.zeros(len(wanted), np.int64)] + [np.zeros(len(wanted)) for _ in range(2 * (level < self.order))]
+        for p, at in _cuts(part_of(wanted, self.parts), self.parts):
+            if not self.sizes[level][p]:
                 continue
-            some = wanted[cuts[p] : cuts[p + 1]]
-            at = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == some)
-            for i, (k, o) in enumerate(zip(kinds, out, strict=True)):
-                o[cuts[p] + hit] = self._file(f"{level}-{p}-{i}", k)[at[hit]]
-        return [o[back] for o in out]
+            held = self._held(level, p)
+            hit, place = look_up(held, wanted[at], self.parts)
+            some = at[hit]
+            out[0][some] = _bytes_at(held, "count", place)
+            if level < self.order:
+                total, discount = _bytes_at(held, "total", place), self.discount[level + 1]
+                left = np.where(total == 1, discount[1], 0.0)
+                often = np.flatnonzero(total > 1)
+                rank = np.searchsorted(held["often"], place[often])
+                left[often] = sum(discount[k] * held[f"seen{k}"][rank] for k in (1, 2, 3)) / total[often]
+                out[1][some], out[2][some] = total, left
+        whole = [np.zeros(len(columns[0]), a.dtype) for a in out]
+        for w, a in zip(whole, out, strict=True):
+            w[known] = a[back]
+        return whole
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """Tokens, known ones, base score and score of each text, a slice at a time."""
         done = []
-        for a, b in slices([len(t) for t in texts], 8 << 20):
+        for a, b in slices([len(t) for t in texts], 4 << 20):
             tokens, place, owner = padded(texts[a:b], self.order)
-            raw, lower = self.look("n1", key_of([tokens[place]]), [np.uint32, np.uint32])
-            base = np.log10((raw.astype(np.float64) + 1) / (self.train_tokens + self.vocabulary + 1))
+            words, back = np.unique(tokens, return_inverse=True)
+            ids, raw = self.numbers(words)
+            held = [x[back] for x in self.look(1, [ids])]
+            ids, raw = ids[back], raw[back[place]]
+            base = np.log10((raw + 1) / (self.train_tokens + self.vocabulary + 1))
             p = np.full(len(place), 1 / (self.vocabulary + 1))
             if self.total:
+                lower = held[0][place]
                 p = np.maximum(lower - self.discount[1][np.minimum(lower, 3)], 0) / self.total + self.backoff * p
-            for n in range(2, self.order + 1):
-                columns = [tokens[place - j] for j in range(n - 1, -1, -1)]
-                (count,) = self.look(f"n{n}", key_of(columns), [np.uint32])
-                total, backoff = self.look(f"c{n}", key_of(columns[:-1]), [np.float64, np.float32])
-                has = total > 0
-                p[has] = np.maximum(count - self.discount[n][np.minimum(count, 3)], 0)[has] / total[has] + backoff[has] * p[has]
+            for n in range(2, self.order + 1):  # an n-gram's numbers stand at its last word
+                total, left = held[1][place - 1], held[2][place - 1]
+                first = n - 1
+                held = [np.append(np.zeros(first, x.dtype), x) for x in self.look(n, [ids[first - j : len(ids) - j] for j in range(first, -1, -1)])]
+                count, has = held[0][place], total > 0
+                p[has] = np.maximum(count - self.discount[n][np.minimum(count, 3)], 0)[has] / total[has] + left[has] * p[has]
             k = b - a
             done.append((np.bincount(owner, minlength=k), np.bincount(owner, raw > 0, k).astype(np.int64), np.bincount(owner, base, k), np.bincount(owner, np.log10(p), k)))
         return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0),) * 4
 
 
 def _discounts(seen: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more from the numbers of n-grams seen 1 to 4 times."""
+    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more from the numbers of n-grams seen 1 to 4 times; FALLBACK if one is 0."""
     t = seen.astype(np.float64)
     if not t[:4].all():
-        return np.array([0, 0.5, 1, 1.5])
+        return np.array([0, *FALLBACK])
     y = t[0] / (t[0] + 2 * t[1])
     return np.array([0, *(min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.0), float(k)) for k in (1, 2, 3))])
 
 
-def train(texts: DataFrame, order: int = 2) -> Model:
-    """Counts all rows of texts(text binary): null is empty and is one end. `order` is at least 2."""
-    spark = texts.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
-    store = Store(spark)
-    model = Model(store, order, parts)
+def _by_part(rows: DataFrame, parts: int, one) -> DataFrame:
+    """The rows of one(part, blobs by kind) for each part, each in a task of its own."""
 
-    def counted(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[list[np.ndarray]] = []
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        given: dict[int, dict[str, list[bytes]]] = {}
+        for batch in batches:
+            for kind, part, data in batch.itertuples(index=False):
+                given.setdefault(part, {}).setdefault(kind, []).append(data)
+        for part in sorted(given):
+            yield pd.DataFrame(one(part, given.pop(part)), columns=["kind", "part", "data"])
 
-        def flush() -> pd.DataFrame:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            held.clear()
-            one = np.ones(len(columns[0]), np.uint64)
-            out = _sent("low", *_summed(key_of(columns), [*columns, one], 1), parts)
-            out += _sent("raw", *_summed(key_of(columns[-1:]), [columns[-1], one], 1), parts)
-            return pd.DataFrame(out, columns=["kind", "part", "data"])
+    return rows.repartitionById(parts, "part").mapInPandas(run, _ROWS)
 
-        for batch in rows:
-            data = as_bytes(batch["text"])
-            for a, b in slices([len(t) for t in data]):
-                tokens, place, _ = padded(data[a:b], order)
-                held.append([tokens[place - j] for j in range(order - 1, -1, -1)])
-                if sum(len(h[0]) for h in held) > _FLUSH_TOKENS:
-                    yield flush()
-        if held:
-            yield flush()
-
-    def level(n: int, rows: DataFrame, path: str) -> DataFrame:
-        """Writes a level's arrays; gives its counts of counts, its contexts' sums and the next level's counts."""
-
-        def reduced(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            part = key[0]
-            given = _unpacked(rows["data"][rows["kind"] == "low"], n + 1)
-            keys, (*columns, count) = _summed(key_of(given[:-1]), given, 1)
-            out = []
-            if n > 1 and (rows["kind"] == "raw").any():  # counts of single words go along to the last level
-                word, raw = _unpacked(rows["data"][rows["kind"] == "raw"], 2)
-                _, some = _summed(key_of([word]), [word, raw], 1)
-                out.append(("raw", part, _packed(some)))
-            if n == 1:
-                word, raw = _unpacked(rows["data"][rows["kind"] == "raw"], 2)
-                raw_keys, (_, raw) = _summed(key_of([word]), [word, raw], 1)
-                lower = np.zeros(len(raw_keys), np.uint64)
-                lower[np.searchsorted(raw_keys, keys)] = count
-                out += store.write(f"n1-{part}-key", raw_keys) + store.write(f"n1-{part}-0", raw.astype(np.uint32)) + store.write(f"n1-{part}-1", lower.astype(np.uint32))
-                stats = [len(raw_keys), int(raw.sum())]
+
+def _tokens(rows: Iterator[pd.DataFrame], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """padded() of some millions of tokens at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        starts = np.cumsum([0] + [len(t) for t, _ in held[:-1]])
+        out = np.concatenate([t for t, _ in held]), np.concatenate([p + s for s, (_, p) in zip(starts, held, strict=True)])
+        held.clear()
+        return out
+
+    for batch in rows:
+        data = as_bytes(batch["text"])
+        for a, b in slices([len(t) for t in data]):
+            held.append(padded(data[a:b], order)[:2])
+            if sum(len(p) for _, p in held) > _FLUSH_TOKENS:
+                yield joined()
+    if held:
+        yield joined()
+
+
+@cleaned
+def train(texts: DataFrame, order: int = ORDER) -> Model:
+    """Counts all rows of texts(text binary, ...): null is empty and is one end. `order` is at least 2.
+
+    Repeated rows count as often as they stand; other columns aren't read; an empty table gives a model that knows no
+    word. There are as many parts as the cluster has cores, or one for each PART_BYTES of text if that is more. Where a
+    level has no n-gram of some count from 1 to 4, its discounts are FALLBACK.
+    """
+    spark, texts = texts.sparkSession, texts.select("text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    store = Store(spark)
+    model = Model(store, order, parts)
+
+    def numbers(rows: DataFrame, width: int) -> Iterator[tuple[int, np.ndarray]]:
+        for r in rows.where("kind = 'stat'").toLocalIterator():
+            for stats in np.frombuffer(r["data"], np.int64).reshape(-1, width):
+                yield r["part"], stats
+
+    def words_of(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for tokens, place in _tokens(rows, 1):
+            words, n = np.unique(tokens[place], return_counts=True)
+            yield pd.DataFrame([("word", k, _packed([words[at]], [n[at]])) for k, at in _cuts(part_of(words, parts), parts)], columns=["kind", "part", "data"])
+
+    def words(part: int, blobs: dict[str, list[bytes]]) -> list[tuple[str, int, bytes]]:
+        word, n = _unpacked(blobs["word"], 1, 1)
+        order = np.argsort(word)
+        word, first = word[order], _firsts([word[order]])
+        raw = _added([n[order]], first)[0]
+        kind = _class(raw)
+        order, n = np.argsort(kind, kind="stable"), np.bincount(kind, minlength=_CLASSES)
+        rank = np.empty(len(raw), np.int64)
+        rank[order] = np.arange(len(raw)) - np.repeat(np.cumsum(n) - n, n)
+        data = _file({"word": word[first], "raw": _small(raw), "rank": _small(rank)})
+        return [*store.write(0, part, data), ("stat", part, np.array([len(data), int(raw.sum()), *n], np.int64).tobytes())]
+
+    for part, stats in numbers(store.ran(_by_part(texts.mapInPandas(words_of, _ROWS), parts, words)), _CLASSES + 2):
+        model.sizes[0][part], model.base[:, part] = stats[0], stats[2:]
+        model.train_tokens += int(stats[1])
+    model.vocabulary = int(model.base.sum())
+    model.base = np.cumsum(model.base).reshape(model.base.shape) - model.base
+
+    def grams_of(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for tokens, place in _tokens(rows, order):
+            words, back = np.unique(tokens, return_inverse=True)
+            ids = model.numbers(words)[0][back]
+            yield pd.DataFrame(_sent("low", *_summed([ids[place - j] for j in range(order - 1, -1, -1)], [], model.kinds), parts), columns=["kind", "part", "data"])
+
+    def level(n: int):
+        """A part's file of a level, its counts of counts, and the next level's counts."""
+
+        def one(part: int, blobs: dict[str, list[bytes]]) -> list[tuple[str, int, bytes]]:
+            low, context = _unpacked(blobs.get("low", ()), n, 1), None
+            if n < order:
+                also = _unpacked(blobs.get("ctx", ()), n, 4)
+                k, m = len(low[0]), len(also[0])
+                none = [np.zeros(k, np.uint8)] * 4
+                every = [np.concatenate((x, y)) for x, y in zip([*low, *none], [*also[:n], np.zeros(m, np.uint8), *also[n:]], strict=True)]
+                del low, also
+                columns, (count, *context) = _summed(every[:n], every[n:], model.kinds)
             else:
-                out += store.write(f"n{n}-{part}-key", keys) + store.write(f"n{n}-{part}-0", np.minimum(count, 2**32 - 1).astype(np.uint32))
-                c = np.minimum(count, 3)
-                out += _sent("ctx", *_summed(key_of(columns[:-1]), [key_of(columns[:-1]), count, *((c == k).astype(np.uint64) for k in (1, 2, 3))], 4), parts)
-                each = np.where(columns[1] == BEGIN, count, 1).astype(np.uint64) if n > 2 else np.ones(len(count), np.uint64)
-                out += _sent("low", *_summed(key_of(columns[1:]), [*columns[1:], each], 1), parts)
-                stats = [0, 0]
-            stats += [int((count == k).sum()) for k in (1, 2, 3, 4)] + [int((count >= 3).sum()), int(count.sum())]
-            out.append(("stat", part, np.array(stats, np.int64).tobytes()))
-            return pd.DataFrame(out, columns=["kind", "part", "data"])
-
-        return written(rows.groupBy("part").applyInPandas(reduced, _ROWS), path=path)
-
-    def contexts(n: int, rows: DataFrame) -> DataFrame:
-        discount = model.discount[n]
-
-        def reduced(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            given = _unpacked(rows["data"], 5)
-            keys, (_, total, *seen) = _summed(given[0], given, 4)
-            total = total.astype(np.float64)
-            backoff = sum(d * s for d, s in zip(discount[1:], seen, strict=True)) / total
-            name = f"c{n}-{key[0]}"
-            out = store.write(f"{name}-key", keys) + store.write(f"{name}-0", total) + store.write(f"{name}-1", backoff.astype(np.float32))
-            return pd.DataFrame([*out, ("stat", key[0], b"")], columns=["kind", "part", "data"])
-
-        return written(rows.where("kind = 'ctx'").groupBy("part").applyInPandas(reduced, _ROWS))
-
-    rows, tables, path = texts.select("text").mapInPandas(counted, _ROWS), [], None
+                columns, (count,) = _summed(low[:n], low[n:], model.kinds)
+            data = gram_file(columns, count, context, parts) if len(count) else b""
+            out = store.write(n, part, data) if data else []
+            if n > 1:
+                seen = count > 0
+                columns, count = [c[seen] for c in columns], count[seen]
+                first, c = _firsts(columns[:-1]), np.minimum(count, 3)
+                out += _sent("ctx", [x[first] for x in columns[:-1]], _added([count, *((c == k).astype(np.uint64) for k in (1, 2, 3))], first), parts)
+                each = np.where(columns[1] == model.vocabulary, count, 1).astype(np.uint64) if n > 2 else np.ones(len(count), np.uint64)
+                out += _sent("low", *_summed(columns[1:], [each], model.kinds), parts)
+            stats = [n, len(data), *(int((count == k).sum()) for k in (1, 2, 3, 4)), int((count >= 3).sum()), int(count.sum())]
+            passed = [(kind, part, data) for kind, held in blobs.items() if kind == "stat" or kind.startswith("file ") for data in held]
+            return [*out, *passed, ("stat", part, np.array(stats, np.int64).tobytes())]
+
+        return one
+
+    rows = texts.mapInPandas(grams_of, _ROWS)
     for n in range(order, 0, -1):
-        before, path = path, shared_folder(spark)
-        rows = level(n, rows, path)
-        tables.append(rows)
-        if before and store.direct:
-            remove(spark, before)
-        stats = np.array([np.frombuffer(r["data"], np.int64) for r in rows.where("kind = 'stat'").select("data").collect()]).reshape(-1, 8).sum(axis=0)
-        model.discount[n] = _discounts(stats[2:6])
-        if n > 1:
-            tables.append(contexts(n, rows))
-            rows = rows.where("kind in ('low', 'raw')")
-        else:
-            model.vocabulary, model.train_tokens, model.total = int(stats[0]), int(stats[1]), float(stats[7])
-            model.backoff = float((model.discount[1][1:] * [stats[2], stats[3], stats[6]]).sum() / max(1, stats[7]))
-    store.share(spark, tables)
+        rows = _by_part(rows, parts, level(n))
+    totals = {n: np.zeros(6, np.int64) for n in range(1, order + 1)}
+    for part, (n, held, *stats) in numbers(store.ran(rows), 8):
+        model.sizes[n][part] = held
+        totals[n] += stats
+    for n, t in totals.items():
+        model.discount[n] = _discounts(t[:4])
+    model.total = float(totals[1][5])
+    model.backoff = float((model.discount[1][1:] * totals[1][[0, 1, 4]]).sum() / max(1, totals[1][5]))
     return model
 
 
@@ -310,7 +529,7 @@ def held_out(column: str = "doc_id") -> Column:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, held_out, text binary).
 
-    A null or empty text is its end alone. Repeated rows stay repeated; an empty table gives no rows.
+    A null or empty text is its end alone. Repeated rows stay repeated; other columns aren't read; an empty table gives no rows.
     """
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,10 +537,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             tokens, known, base, log = model.score(as_bytes(batch["text"]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": tokens, "n_known": known, "train_tokens": model.train_tokens, "base_score": base, "score": log})
 
-    return docs.mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.select("doc_id", "held_out", "text").mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out and learned documents' scores by a model of order 3."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", held_out().alias("held_out"), F.col("text").cast("binary").alias("text"))
-    return score(docs, train(docs.where(~F.col("held_out")).select("text"), order=ORDER))
+    return score(docs, train(docs.where(~F.col("held_out")).select("text")))
