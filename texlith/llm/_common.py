@@ -59,11 +59,16 @@ def local_path(spark: SparkSession, path: str) -> str | None:
 _open: list[list[str]] = []
 
 
+def opened(path: str) -> None:
+    """Says that an operator wrote a folder, so that it is deleted some time."""
+    if _open:
+        _open[-1].append(path)
+
+
 def written(df: DataFrame, compression: str = "zstd", path: str | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage and survives a lost executor. Rows that can't be read back raise."""
     spark, path = df.sparkSession, path or shared_folder(df.sparkSession)
-    if _open:
-        _open[-1].append(path)
+    opened(path)
     schema, check = df.schema, local_path(spark, path) is not None and not is_local(spark)
     seen = Observation()
     (df.observe(seen, F.count(F.lit(1)).alias("n")) if check else df).write.option("compression", compression).parquet(path)

@@ -17,19 +17,16 @@ stand more than once have numbers of their followers. Workers map the files and
 from __future__ import annotations
 
 import json
-import os
-import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texlith.llm._common import as_bytes, cleaned, local_path, mixed, shared_folder, slices, word_hashes
+from texlith.llm._common import as_bytes, cleaned, mixed, slices, word_hashes
+from texlith.llm.stores import ROWS, Store, by_part, cuts, part_of
 
 BEGIN, END = np.uint64(0x0B0E), np.uint64(0x0E0D)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -44,7 +41,6 @@ FALLBACK = (0.5, 1.0, 1.5)
 _BUCKET_BITS = 4
 #: Classes of words by count, in whose order they are numbered, so that frequent words have small numbers.
 _CLASSES = 16
-_ROWS = "kind string, part int, data binary"
 
 
 def padded(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,11 +64,6 @@ def key_of(columns: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def part_of(key: np.ndarray, parts: int) -> np.ndarray:
-    """Ranges of keys, so that all parts' arrays in a row are one sorted array."""
-    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-
-
 def within_part(key: np.ndarray, parts: int) -> np.ndarray:
     """A key's place in its part's range, as a fraction of 64 bits; in the order of keys."""
     return (key >> np.uint64(32)) * np.uint64(parts) << np.uint64(32) | key & np.uint64(2**32 - 1)
@@ -125,17 +116,9 @@ def _unpacked(blobs, columns: int, counts: int) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64)] * (columns + counts)
 
 
-def _cuts(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each part that occurs and where, in order."""
-    order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    for k in np.flatnonzero(np.diff(cuts)).tolist():
-        yield k, order[cuts[k] : cuts[k + 1]]
-
-
 def _sent(kind: str, columns: list[np.ndarray], counts: list[np.ndarray], parts: int) -> list[tuple[str, int, bytes]]:
     """Rows of packed arrays for the parts that have any of the n-grams, which are in order."""
-    return [(kind, k, _packed([c[at] for c in columns], [c[at] for c in counts])) for k, at in _cuts(part_of(key_of(columns), parts), parts)]
+    return [(kind, k, _packed([c[at] for c in columns], [c[at] for c in counts])) for k, at in cuts(part_of(key_of(columns), parts), parts)]
 
 
 def _firsts(columns: list[np.ndarray]) -> np.ndarray:
@@ -238,73 +221,6 @@ def look_up(held: dict[str, np.ndarray], key: np.ndarray, parts: int) -> tuple[n
     return hit, low[hit]
 
 
-class Store:
-    """Files in a folder that driver and executors share.
-
-    Where the shared folder is a path of the file system, tasks write the files there and workers map them in place. In
-    a store that only Spark opens, tasks return the files as table rows, the table goes to each executor by addFile, and
-    the first worker that needs a file unpacks them beside it.
-    """
-
-    def __init__(self, spark: SparkSession, mapped: bool | None = None):
-        self.folder = shared_folder(spark)
-        self.direct = local_path(spark, self.folder) if mapped is not False else None
-        self.tables: list[str] = []
-
-    def write(self, level: int, part: int, data: bytes) -> list[tuple[str, int, bytes]]:
-        name = f"n{level}-{part}"
-        if not self.direct:
-            return [(f"file {name}", part, data)]
-        os.makedirs(self.direct, exist_ok=True)
-        held = f"{self.direct}/.{name}-{uuid.uuid4().hex}"
-        with open(held, "wb") as f:
-            f.write(data)
-        os.replace(held, f"{self.direct}/{name}")  # a task that runs again writes the same
-        return []
-
-    def ran(self, rows: DataFrame) -> DataFrame:
-        """Runs the tasks; gives the rows that are no files, and shares the files."""
-        if self.direct:
-            return rows
-        path = f"{self.folder}-{len(self.tables)}"
-        rows.write.option("compression", "none").parquet(path)
-        rows = rows.sparkSession.read.schema(_ROWS).parquet(path)
-        rows.where(F.col("kind").startswith("file ")).write.option("compression", "none").parquet(f"{path}-files")
-        rows.sparkSession.sparkContext.addFile(f"{path}-files", recursive=True)
-        self.tables.append(os.path.basename(path) + "-files")
-        return rows.where(~F.col("kind").startswith("file "))
-
-    def read(self, name: str, size: int) -> np.ndarray:
-        """The file's bytes; one that isn't there or isn't of this size raises."""
-        path = f"{self.direct or _unpack(tuple(self.tables))}/{name}"
-        if os.path.getsize(path) != size:
-            raise OSError(f"{path} doesn't have the {size} bytes that were written")
-        return np.asarray(np.memmap(path, np.uint8, "r"))
-
-
-@lru_cache(4)
-def _unpack(tables: tuple[str, ...]) -> str:
-    """Files from an executor's copies of the tables, unpacked once for all its workers."""
-    import fcntl
-
-    import pyarrow.parquet as pq
-
-    to = os.path.join(SparkFiles.getRootDirectory(), tables[-1] + "-unpacked")
-    with open(to + ".lock", "w") as lock:
-        fcntl.flock(lock, fcntl.LOCK_EX)
-        if not os.path.exists(to):
-            os.makedirs(to + ".part", exist_ok=True)
-            for table in tables:
-                top = SparkFiles.get(table)
-                for f in sorted(x for x in os.listdir(top) if x.endswith(".parquet")):
-                    for batch in pq.ParquetFile(os.path.join(top, f)).iter_batches(4):
-                        for row in batch.to_pylist():
-                            with open(f"{to}.part/{row['kind'].split(' ')[1]}", "wb") as out:
-                                out.write(row["data"])
-            os.rename(to + ".part", to)
-    return to
-
-
 class Model:
     """What tasks need besides the files: order, parts, the files' sizes by level and part, first numbers of the parts' words, discounts and totals."""
 
@@ -328,7 +244,7 @@ class Model:
     def numbers(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unknown) and counts of distinct words in order."""
         ids, raw = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
-        for p, at in _cuts(part_of(words, self.parts), self.parts):
+        for p, at in cuts(part_of(words, self.parts), self.parts):
             if self.sizes[0][p]:
                 held = self._held(0, p)
                 place = np.minimum(np.searchsorted(held["word"], words[at]), len(held["word"]) - 1)
@@ -343,7 +259,7 @@ class Model:
         known = np.flatnonzero(np.all([c >= 0 for c in columns], axis=0))
         wanted, back = np.unique(key_of([c[known] for c in columns]), return_inverse=True)
         out = [np.zeros(len(wanted), np.int64)] + [np.zeros(len(wanted)) for _ in range(2 * (level < self.order))]
-        for p, at in _cuts(part_of(wanted, self.parts), self.parts):
+        for p, at in cuts(part_of(wanted, self.parts), self.parts):
             if not self.sizes[level][p]:
                 continue
             held = self._held(level, p)
@@ -396,20 +312,6 @@ def _discounts(seen: np.ndarray) -> np.ndarray:
     return np.array([0, *(min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.0), float(k)) for k in (1, 2, 3))])
 
 
-def _by_part(rows: DataFrame, parts: int, one) -> DataFrame:
-    """The rows of one(part, blobs by kind) for each part, each in a task of its own."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        given: dict[int, dict[str, list[bytes]]] = {}
-        for batch in batches:
-            for kind, part, data in batch.itertuples(index=False):
-                given.setdefault(part, {}).setdefault(kind, []).append(data)
-        for part in sorted(given):
-            yield pd.DataFrame(one(part, given.pop(part)), columns=["kind", "part", "data"])
-
-    return rows.repartitionById(parts, "part").mapInPandas(run, _ROWS)
-
-
 def _tokens(rows: Iterator[pd.DataFrame], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """padded() of some millions of tokens at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -452,7 +354,7 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     def words_of(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for tokens, place in _tokens(rows, 1):
             words, n = np.unique(tokens[place], return_counts=True)
-            yield pd.DataFrame([("word", k, _packed([words[at]], [n[at]])) for k, at in _cuts(part_of(words, parts), parts)], columns=["kind", "part", "data"])
+            yield pd.DataFrame([("word", k, _packed([words[at]], [n[at]])) for k, at in cuts(part_of(words, parts), parts)], columns=["kind", "part", "data"])
 
     def words(part: int, blobs: dict[str, list[bytes]]) -> list[tuple[str, int, bytes]]:
         word, n = _unpacked(blobs["word"], 1, 1)
@@ -466,7 +368,7 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
         data = _file({"word": word[first], "raw": _small(raw), "rank": _small(rank)})
         return [*store.write(0, part, data), ("stat", part, np.array([len(data), int(raw.sum()), *n], np.int64).tobytes())]
 
-    for part, stats in numbers(store.ran(_by_part(texts.mapInPandas(words_of, _ROWS), parts, words)), _CLASSES + 2):
+    for part, stats in numbers(store.ran(by_part(texts.mapInPandas(words_of, ROWS), parts, words)), _CLASSES + 2):
         model.sizes[0][part], model.base[:, part] = stats[0], stats[2:]
         model.train_tokens += int(stats[1])
     model.vocabulary = int(model.base.sum())
@@ -507,9 +409,9 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
 
         return one
 
-    rows = texts.mapInPandas(grams_of, _ROWS)
+    rows = texts.mapInPandas(grams_of, ROWS)
     for n in range(order, 0, -1):
-        rows = _by_part(rows, parts, level(n))
+        rows = by_part(rows, parts, level(n))
     totals = {n: np.zeros(6, np.int64) for n in range(1, order + 1)}
     for part, (n, held, *stats) in numbers(store.ran(rows), 8):
         model.sizes[n][part] = held
