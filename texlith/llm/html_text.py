@@ -7,7 +7,7 @@ inside of it only at half of them, so that passages that some articles share sta
 are mostly links are counted by their shape too (tags and classes without the text), since menus change from page to
 page while their shape recurs. Then what HTML itself marks as no content goes (nav, aside, form, script, style ..., the
 page's header and footer), and elements whose class, id or role names an advert, comments or another such part. An
-element that holds most of the page's text, or its article, is never removed. The blocks of the main element or articles
+element that holds the article is never removed, and one that holds most of the page's text only if it recurs. The blocks of the main element or articles
 that are left, or of the page, are the text.
 
 The template's hashes, keyed by host, are sorted arrays in the shared folder, which workers map, so that no page is
@@ -61,11 +61,12 @@ _OUTSIDE, _INSIDE, _SHAPE, _PAGE = range(4)
 
 
 class _Node:
-    __slots__ = ("children", "digest", "kind", "linked", "links", "marks", "parent", "protected", "shape", "size", "tag")
+    __slots__ = ("children", "digest", "kind", "linked", "links", "marks", "parent", "protected", "shape", "size", "tag", "whole")
 
     def __init__(self, tag: str, marks: tuple, parent: _Node | None):
         self.tag, self.marks, self.parent, self.children = tag, marks, parent, []
-        self.protected, self.kind, self.digest, self.shape, self.size, self.linked, self.links = False, _OUTSIDE, 0, 0, 0, 0, 0
+        self.protected = self.whole = False
+        self.kind, self.digest, self.shape, self.size, self.linked, self.links = _OUTSIDE, 0, 0, 0, 0, 0
 
 
 class _Open:
@@ -245,8 +246,8 @@ def measure(page: str) -> list[_Node]:
     least = max(1, (root.size - hidden) / 2)
     for node in reversed(nodes):
         if node.tag in ("article", "main") and node.size >= least / 2:
-            while node is not None and not node.protected and node.tag not in _ASIDE:
-                node.protected = True
+            while node is not None and not node.whole and node.tag not in _ASIDE:
+                node.protected = node.whole = True
                 node = node.parent
         elif node.size > least and node.tag not in _INLINE and node.tag not in _ASIDE:
             node.protected = True
@@ -257,9 +258,9 @@ def measure(page: str) -> list[_Node]:
 
 
 def counted(nodes: list[_Node]) -> Iterator[tuple[int, int, _Node]]:
-    """(kind, digest, element) of what may be template: block elements with text that don't hold most of it, outside of the article those that are mostly links by shape too."""
+    """(kind, digest, element) of what may be template: block elements with text that don't hold the article, outside of the article those that are mostly links by shape too."""
     for node in nodes:
-        if node.size and node.tag and not node.protected and node.tag not in _INLINE and node.tag not in _RAW and node.tag not in ("html", "body", "head"):
+        if node.size and node.tag and not node.whole and node.tag not in _INLINE and node.tag not in _RAW and node.tag not in ("html", "body", "head"):
             yield node.kind, node.digest, node
             if node.kind == _OUTSIDE and node.links >= LINKS and node.linked >= LINK_SHARE * node.size:
                 yield _SHAPE, node.shape, node
