@@ -10,6 +10,7 @@ and exact; bounds have a slack for rounding, and a bound equal to the worst kept
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -85,11 +86,16 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
 
     Rows that are null or hold null or non-finite components take no part; other columns aren't read. With fewer rows
     than k all are returned. A repeated vec_id is a candidate as often as it stands, and never its own. Empty: no rows.
+    Vectors meet those of their own dimension. Components so large that an inner product could leave 64 bits raise.
     """
 
     def search(ids: np.ndarray, matrix: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> pd.DataFrame:
-        whole, asked = np.floor(matrix * scale).astype(np.int64), np.floor(queries * scale).astype(np.int64)
-        exact = np.abs(whole).max(initial=1) * np.abs(asked).max(initial=1) * whole.shape[1] < 2**53
+        floors = np.floor(matrix * scale), np.floor(queries * scale)
+        largest = math.prod(float(np.abs(x).max(initial=1)) for x in floors) * matrix.shape[1]
+        if not largest < 2**62:
+            raise ValueError("inner products of these vectors don't fit into 64 bits")
+        whole, asked = (x.astype(np.int64) for x in floors)
+        exact = largest < 2**53
         floats = whole.astype(np.float64)
         points, _ = lifted(floats)
         tree = MTree(points)

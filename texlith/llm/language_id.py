@@ -70,13 +70,18 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(labelled: DataFrame, buckets: int = 1 << 16, smoothing: float = 0.5) -> Model:
-    """Learns from all rows of labelled(text, lang) with a language; null texts count as rows without n-grams.
+def fit(labelled: DataFrame, buckets: int = 1 << 16, smoothing: float = 0.5, max_languages: int = 256) -> Model:
+    """Learns from all rows of labelled(text, lang, ...) with a language; null texts count as rows without n-grams.
 
-    The languages' names are collected (as many as there are languages); the counts have a fixed size a language.
+    Repeated rows count as often as they stand; other columns aren't read; without a language nothing is learned. The
+    languages' names are collected, and the counts have a fixed size a language: more than `max_languages` raise, since
+    the matrix is broadcast (buckets * 4 bytes a language).
     """
     known = labelled.where(F.col("lang").isNotNull()).select("text", "lang")
-    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
+    if len(counted) > max_languages:
+        raise ValueError(f"lang has more than {max_languages} values")
+    rows = {r["lang"]: r["n"] for r in counted}
     langs = sorted(rows)
     if not langs:
         return Model([], np.zeros(0), np.zeros((buckets + 1, 0)))
@@ -98,24 +103,45 @@ def fit(labelled: DataFrame, buckets: int = 1 << 16, smoothing: float = 0.5) ->
     return Model(langs, prior, np.vstack((weights.T, np.zeros((1, len(langs))))).astype(np.float32))
 
 
-def score_texts(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """Each text's language and its posterior probability; `und` and 0 without a letter. Ties go to the first name."""
-    names, sure = [], np.zeros(len(texts))
+def _totals(model: Model, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A slice at a time: log probabilities by text and language without priors, numbers of n-grams and of letters."""
     for a, b in slices([len(t) for t in texts], _SLICE_CHARS):
         orders, letters = _grams(texts[a:b], len(model.weights) - 1)
-        if not model.langs:
-            names += [UNKNOWN] * (b - a)
-            continue
-        total = np.tile(model.prior, (b - a, 1))
+        total, grams_of = np.zeros((b - a, len(model.langs))), np.zeros(b - a, np.int64)
         for grams, bounds in orders:
             has = np.flatnonzero(np.diff(bounds))
-            if len(has):
+            grams_of += np.diff(bounds)
+            if len(has) and model.langs:
                 total[has] += np.add.reduceat(model.weights[grams[: bounds[-1]]], bounds[has], axis=0, dtype=np.float64)
+        yield total, grams_of, letters
+
+
+def score_texts(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Each text's language and its posterior probability; `und` and 0 without a letter. Ties go to the first name."""
+    names, sure = [], [np.zeros(0)]
+    for total, _, letters in _totals(model, texts):
+        if not model.langs:
+            names += [UNKNOWN] * len(letters)
+            sure.append(np.zeros(len(letters)))
+            continue
+        total = total + model.prior
         best = total.argmax(axis=1)
         odds = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
         names += [model.langs[k] if n else UNKNOWN for k, n in zip(best, letters, strict=True)]
-        sure[a:b] = np.where(letters > 0, odds, 0)
-    return names, sure
+        sure.append(np.where(letters > 0, odds, 0))
+    return names, np.concatenate(sure)
+
+
+def identified(model: Model, texts: list[str], min_letters: int = 20) -> np.ndarray:
+    """Whether each text is in a language that was learned: it has a letter and, if it has `min_letters`, its n-grams are
+    likelier in its likeliest language than if drawn from all buckets alike. Where nothing was learned a letter is enough."""
+    out = [np.zeros(0, bool)]
+    for total, grams, letters in _totals(model, texts):
+        good = letters > 0
+        if model.langs:
+            good &= (letters < min_letters) | (total.max(axis=1) >= -grams * np.log(len(model.weights) - 1))
+        out.append(good)
+    return np.concatenate(out)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -142,18 +168,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows whose text has a language; those without any letter (or null) are rejected.
+def keep_identified(docs: DataFrame, min_letters: int = 20) -> DataFrame:
+    """The rows of docs(text, lang, ...) whose text is `identified` by a model of all rows with a language.
 
-    Learns from the rows with a language; a text counts as rejected only if it is `und`, so that clean short texts and
-    texts in more than one language stay.
+    Null and letterless texts go, and longer ones that are less likely than chance in every learned language (another
+    script, encoded data). Short texts and texts in more than one language stay; without any language in the table
+    all texts with a letter stay. Repeated rows share one fate; all columns are kept as they are; an empty table stays empty.
     """
-    model = fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def kept(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            names, _ = score_texts(shared.value, as_texts(batch))
-            yield pd.Series([x != UNKNOWN for x in names], dtype=bool)
+            yield pd.Series(identified(shared.value, as_texts(batch), min_letters), dtype=bool)
 
     return docs.where(F.pandas_udf(kept, "boolean")("text"))

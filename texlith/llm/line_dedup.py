@@ -34,7 +34,7 @@ def _words(text: Column) -> Column:
 
 
 def chunked(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
-    """docs(text, ...) with `chunks`: arrays of struct(n_lines, chunk); null for a null text."""
+    """docs(text, ...) with `chunks`: arrays of struct(n_lines, chunk, first line); null for a null text."""
 
     def line(x: Column) -> Column:
         long_ = F.when(F.length(x) > 2 * long_words, _words(x) > long_words).otherwise(F.lit(False))
@@ -52,7 +52,7 @@ def chunked(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORD
 
     def chunk(start: Column, k: Column) -> Column:
         n = F.coalesce(F.get("_cuts", k + 1), F.size("_lines")) - start
-        return F.struct(n.alias("n_lines"), F.array_join(F.slice("_lines", start + 1, n), "\n").alias("chunk"))
+        return F.struct(n.alias("n_lines"), F.array_join(F.slice("_lines", start + 1, n), "\n").alias("chunk"), start.alias("first"))
 
     return _apart(df, chunks=F.when(F.col("text").isNotNull(), F.transform("_cuts", chunk))).drop("_lines", "_info", "_cuts")
 
@@ -112,18 +112,23 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, divisor: int = DIVI
     out = _apart(out, gone=F.coalesce("gone", F.array().cast("array<int>")))
     if short:
         return _without_lines(out.join(runs(keyed, long_words).hint("merge"), "key", "left"))
-    left = F.filter("chunks", lambda c, i: ~F.array_contains("gone", i))
-    out = _apart(out, left=left)
+    out = _apart(out, left=F.transform(_others(F.size("chunks"), F.col("gone")), lambda i: F.get("chunks", i)))
     lines = lambda column: F.coalesce(F.aggregate(column, F.lit(0), lambda n, c: n + c["n_lines"]), F.lit(0))
     text = F.array_join(F.transform("left", lambda c: c["chunk"]), "\n")
     return out.select("doc_id", text.alias("text"), lines("chunks").alias("n_lines"), (lines("chunks") - lines("left")).alias("n_removed"), "key")
 
 
+def _others(n: Column, some: Column) -> Column:
+    """The numbers below n that aren't in an array, in order, by one hash set a text; null if n is."""
+    return F.when(n > 0, F.array_except(F.sequence(F.lit(0), n - 1), some))
+
+
 def _without_lines(out: DataFrame) -> DataFrame:
     """dedup_lines' rows of out(key, doc_id, text, chunks, gone, runs): without lines of either kind."""
-    by_line = F.flatten(F.transform("chunks", lambda c, i: F.array_repeat(F.array_contains("gone", i), c["n_lines"])))
-    out = _apart(out, lines=F.split("text", "\n", -1), dropped=by_line, runs=F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>")))
-    out = _apart(out, left=F.filter("lines", lambda x, i: ~F.get("dropped", i) & ~F.exists("runs", lambda r: i.between(r["first"], r["last"]))))
+    in_chunks = F.transform("gone", lambda g: F.sequence(F.get("chunks", g)["first"], F.get("chunks", g)["first"] + F.get("chunks", g)["n_lines"] - 1))
+    in_runs = F.coalesce(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])), F.array().cast("array<array<int>>"))
+    out = _apart(out, lines=F.split("text", "\n", -1), dropped=F.flatten(F.concat(in_chunks, in_runs)))
+    out = _apart(out, left=F.transform(_others(F.size("lines"), F.col("dropped")), lambda i: F.get("lines", i)))
     size = lambda column: F.coalesce(F.when(F.col(column).isNotNull(), F.size(column)), F.lit(0))
     return out.select("doc_id", F.array_join("left", "\n").alias("text"), size("lines").alias("n_lines"), (size("lines") - size("left")).alias("n_removed"), "key")
 
@@ -133,7 +138,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks and short passages removed from text, all other columns as they are; a row whose text was emptied goes."""
+    """docs(doc_id, text, ...) with repeated chunks and short passages removed from text, all other columns as they are.
+
+    A row whose text was emptied goes; null texts and those that were empty before stay. Rows equal in doc_id and text
+    share one fate, so that none of them is the other's repeat; an empty table stays empty.
+    """
     done = dedup_lines(docs, short=True).select(F.col("key").alias("_key"), F.col("text").alias("_new"), "n_removed").where("n_removed > 0").dropDuplicates(["_key"])
     keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
     joined = keyed.join(done.hint("merge"), keyed["_row_key"] == done["_key"], "left")

@@ -4,8 +4,8 @@ Lengths are at most the capacity, so that a histogram of them is all that the bi
 whatever the corpus. For each bin the longest length left is the seed; a subset-sum over the other lengths (a Python
 integer as a bitset, multiplicities split in powers of two, longest first) finds the fullest feasible combination,
 which leaves the histogram. As equal histograms choose alike, a combination is taken as often as its lengths last, so
-that there are a few thousand combinations for any number of bins. Pieces are numbered within their length (salted,
-so that one length can hold any share of the rows) and look their place up in the plan.
+that there are a few thousand combinations for any number of bins. Pieces are numbered within their length (in groups
+of bounded size, so that one length can hold any share of the rows) and look their place up in the plan.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from texlith.llm._common import as_texts, cleaned, written
 from texlith.llm.bpe import loaded
 
 _RANK_BITS = 44
+#: Pieces of one length that one task numbers, about.
+_GROUP = 1 << 16
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -73,12 +75,12 @@ def plan(histogram: np.ndarray, capacity: int) -> pd.DataFrame:
 
 
 @cleaned
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, salts: int = 256) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of docs(doc_id, text, ...).
 
     A null or empty text is its end id alone. Only documents over the capacity are cut. Repeated rows are packed as
-    often as they stand; other columns aren't read; an empty table gives no rows. Only the histogram of lengths
-    ((capacity + 1) * salts counts) reaches the driver; the plan, a few thousand slots, is sent to all tasks.
+    often as they stand; other columns aren't read; an empty table gives no rows. Only the sizes of groups
+    (one for each length and 65,536 pieces) reach the driver; they and the plan, a few thousand slots, are sent to all tasks.
     """
     spark = docs.sparkSession
 
@@ -96,24 +98,31 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, salt
             yield made.assign(doc_id=made["doc_id"].astype("Int64"))
 
     cut = docs.select("doc_id", "text").mapInPandas(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    cut = written(cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")))
-    histogram = np.zeros((capacity + 1, salts), np.int64)
-    for row in cut.groupBy("length", "_salt").count().collect():
-        histogram[row["length"], row["_salt"]] = row["count"]
-    before = np.cumsum(histogram, axis=1) - histogram
-    slots = plan(histogram.sum(axis=1), capacity).sort_values(["length", "first"])
+    cut = written(cut)
+    histogram = np.zeros(capacity + 1, np.int64)
+    for row in cut.groupBy("length").count().collect():
+        histogram[row["length"]] = row["count"]
+    groups = np.maximum(1, -(-histogram // _GROUP))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(F.lit(groups.tolist()), F.col("length").cast("int")))
+    cut = cut.withColumn("_group", (F.get(F.lit((np.cumsum(groups) - groups).tolist()), F.col("length").cast("int")) + salt).cast("long"))
+    sizes = np.zeros(groups.sum(), np.int64)
+    for row in cut.groupBy("_group").count().toLocalIterator():
+        sizes[row["_group"]] = row["count"]
+    of_length = np.repeat(np.arange(capacity + 1), groups)
+    before = np.cumsum(sizes) - sizes - (np.cumsum(histogram) - histogram)[of_length]
+    slots = plan(histogram, capacity).sort_values(["length", "first"])
     shared = spark.sparkContext.broadcast((before, slots["length"].to_numpy() << _RANK_BITS | slots["first"].to_numpy(), {c: slots[c].to_numpy() for c in slots}))
 
     def placed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before, keys, slot = shared.value
         for batch in rows:
             length = batch["length"].to_numpy(np.int64)
-            rank = before[length, batch["_salt"].to_numpy()] + batch["_rank"].to_numpy(np.int64) - 1
+            rank = before[batch["_group"].to_numpy(np.int64)] + batch["_rank"].to_numpy(np.int64) - 1
             at = np.searchsorted(keys, length << _RANK_BITS | rank, "right") - 1
             nth, times = rank - slot["first"][at], slot["times"][at]
-            yield batch.drop(columns=["_salt", "_rank"]).assign(sequence_id=slot["base"][at] + nth // times, offset=slot["offset"][at] + nth % times * length)
+            yield batch.drop(columns=["_group", "_rank"]).assign(sequence_id=slot["base"][at] + nth // times, offset=slot["offset"][at] + nth % times * length)
 
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("_group").orderBy("doc_id", "piece", "ids_crc32")
     ranked = cut.withColumn("_rank", F.row_number().over(order).cast("long"))
     return ranked.mapInPandas(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 

@@ -337,6 +337,8 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         nonlocal known, links, labels, placed
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = written(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            return
         found = _verified(pairs, docs, reps, percent)
         known = pairs if known is None else known.unionAll(pairs)
         links = found if links is None else links.unionAll(found)
@@ -352,6 +354,8 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         free(old, fresh, reached)
 
     for turn in range(_TURNS):
+        if placed.isEmpty():
+            break
         drawn = F.struct(F.xxhash64("set_id", F.lit(turn)).alias("draw"), "set_id", "n", "label")
         pivots = placed.groupBy("sig").agg(F.min(drawn).alias("p")).select("sig", "p.set_id", "p.n", "p.label")
         pivots = written(pivots)
@@ -369,10 +373,12 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     firsts = placed.groupBy("set_id").agg(smallest(_PROBE).alias("probes"), smallest(_INDEX).alias("indexes"))
     once = "coalesce(array_min(array_intersect(x.probes, y.indexes)) >= x.sig, true)"
     short = placed.join(reps.select("set_id", "short"), "set_id").join(firsts, "set_id")
-    rest = short.alias("x").join(short.alias("y"), "sig").where(f"{larger} and {close} and x.role & {_PROBE} > 0 and y.role & {_INDEX} > 0 and {near} and {once}")
-    compared(rest.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")))
+    rest = None if placed.isEmpty() else short.alias("x").join(short.alias("y"), "sig").where(f"{larger} and {close} and x.role & {_PROBE} > 0 and y.role & {_INDEX} > 0 and {near} and {once}")
+    if rest is not None:
+        compared(rest.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")))
 
-    member = reps.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "n", "first", F.coalesce("label", "set_id").alias("label"))
+    member = reps.withColumn("label", F.lit(None).cast("long")) if labels is None else reps.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
+    member = member.select("set_id", "n", "first", F.coalesce("label", "set_id").alias("label"))
     leasts = member.groupBy("label").agg(F.min("first").alias("least"))
     of_set = written(member.join(leasts, "label").select("set_id", "n", "least"))
     free(placed, labels, reps)
