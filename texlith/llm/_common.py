@@ -55,6 +55,8 @@ def local_path(spark: SparkSession, path: str) -> str | None:
     return "/" + path.removeprefix("file:").lstrip("/") if scheme == "file" else None
 
 
+#: Folders whose tables were read back whole.
+_shared: set[str] = set()
 #: Tables of the operators that are being called, innermost last.
 _open: list[list[str]] = []
 
@@ -66,15 +68,24 @@ def opened(path: str) -> None:
 
 
 def written(df: DataFrame, compression: str = "zstd", path: str | None = None) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts lineage and survives a lost executor. Rows that can't be read back raise."""
+    """The rows as a Parquet table in the shared folder: cuts lineage and survives a lost executor.
+
+    Off local masters the first table of a process is counted again after it was written, so that a folder that the
+    driver and the executors don't share raises.
+    """
     spark, path = df.sparkSession, path or shared_folder(df.sparkSession)
     opened(path)
-    schema, check = df.schema, local_path(spark, path) is not None and not is_local(spark)
+    schema, base = df.schema, path.rsplit("/", 1)[0]
+    check = base not in _shared and not is_local(spark) and local_path(spark, path) is not None
     seen = Observation()
     (df.observe(seen, F.count(F.lit(1)).alias("n")) if check else df).write.option("compression", compression).parquet(path)
     out = spark.read.schema(schema).parquet(path)
-    if check and out.count() != seen.get["n"]:
-        raise RuntimeError(f"{path} lacks rows that were written: it isn't a folder that the driver and all executors share")
+    if check:
+        n = seen.get["n"]
+        if out.count() != n:
+            raise RuntimeError(f"{path} lacks rows that were written: it isn't a folder that the driver and all executors share")
+        if n:
+            _shared.add(base)
     out.shared_path = path
     return out
 

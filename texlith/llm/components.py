@@ -17,7 +17,7 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round sends a link's ends to smaller ids by a grouped minimum (combined before the shuffle) and one join, so
     that no id's neighbours are ever gathered; the links of a round are a table in the shared folder. Rounds end when
-    all links point to their component's smallest id, after about log(longest path) of them.
+    each id has one link, to one that has none, its component's smallest; after about log(longest path) of them.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = _state(edges)
@@ -27,6 +27,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        pointed = edges.select(F.col("v").alias("u")).distinct()
+        if edges.groupBy("u").count().where("count > 1").isEmpty() and edges.join(pointed, "u", "left_semi").isEmpty():
+            break
         old, edges = edges, written(small.select("e.u", "e.v").where("u <> v").distinct())
         before, state = state, _state(edges)
         free(old)

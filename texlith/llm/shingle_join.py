@@ -330,21 +330,30 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = written(_buckets(docs.select("text"), classes, parts, percent).withColumn("label", F.col("set_id")))
 
     close = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and x.label <> y.label"
-    known = links = labels = None
+    known = labels = None
 
     def compared(pairs: DataFrame) -> None:
-        """Looks at pairs that weren't looked at, adds their links, and labels what is still open anew."""
-        nonlocal known, links, labels, placed
+        """Looks at pairs that weren't looked at, joins the components that they link, and labels what is still open anew."""
+        nonlocal known, labels, placed
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = written(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             return
         found = _verified(pairs, docs, reps, percent)
         known = pairs if known is None else known.unionAll(pairs)
-        links = found if links is None else links.unionAll(found)
-        reached = connected_components(links)
-        free(labels)
-        labels = written(reached)
+        if labels is None:
+            reached = connected_components(found)
+            labels = written(reached)
+        else:  # only components that are linked anew: their labels stand for their sets
+            of = lambda k: labels.select(F.col("id").alias(k), F.col("label").alias(f"l{k}"))
+            ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+            reached = connected_components(ends)
+            again = reached.select(F.col("id").alias("label"), F.col("label").alias("to"))
+            moved = labels.join(again, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+            alone = reached.join(labels, "id", "left_anti")
+            old_labels, labels = labels, written(moved.unionAll(alone))
+            free(old_labels)
+        free(found)
         fresh = placed.drop("label").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
         fresh = written(fresh)
         # Signatures of the same sets in the same roles give the same pairs: one of them stays.
