@@ -34,8 +34,9 @@ CELLS = 1 << 22
 _PROBE, _INDEX = 1, 2
 _CLASS_SIZE = 16
 _OFTEN = 128
-#: Rounds of comparisons with pivots; what is still open after them is compared pair by pair.
-_TURNS = 2
+#: Least and most rounds of comparisons with pivots: they go on while pairs that are still open outnumber the signatures.
+#: What is open after them is compared pair by pair.
+_TURNS, _MOST_TURNS = 2, 6
 #: Least and most bits of the bitmaps that the last join holds against each other; between them, four to eight a shingle.
 _SHORT, _LONG = 256, 8192
 #: So many of its smallest open signatures a set carries into the last join, to meet each other set at one of them only.
@@ -362,8 +363,14 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         old, placed = placed, written(fresh.join(still.groupBy("mark0", "mark1").agg(F.min("sig").alias("sig")), "sig", "left_semi"))
         free(old, fresh, reached)
 
-    for turn in range(_TURNS):
-        if placed.isEmpty():
+    def open_pairs() -> bool:
+        """Whether pairs of sets of one signature in different components are more than the signatures' rows."""
+        each = placed.groupBy("sig", "label").agg(F.count("*").cast("double").alias("n")).groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        rows, pairs = each.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        return pairs > 2 * rows
+
+    for turn in range(_MOST_TURNS):
+        if placed.isEmpty() or turn >= _TURNS and not open_pairs():
             break
         drawn = F.struct(F.xxhash64("set_id", F.lit(turn)).alias("draw"), "set_id", "n", "label")
         pivots = placed.groupBy("sig").agg(F.min(drawn).alias("p")).select("sig", "p.set_id", "p.n", "p.label")
