@@ -60,3 +60,28 @@ MAX_ARTICLE_WORDS, MAX_HEADLINE, MIN_BODY, MAX_BODY = 100, 120, 20, 2000
 LATIN_MAX_FOREIGN, FOREIGN_SCRIPT = 0.2, 0.3
 FULL_LEXICAL_TOKENS = 6
 STANCES = ("support", "oppose", "mixed", "undecided")
+
+# Fixed values. What a score's reasons, the admission and the verdict say.
+REASONS = {
+    "novelty": "novelty z={z:+.2f} vs. corpus (nearest {nearest} @ {sim:.2f})",
+    "no clause": "no substantive clause to assess",
+    "covered": "every on-topic clause is already covered by existing submissions",
+    "copy": "near-copy of {of} ({held:.0%} shingle overlap)",
+    "language": "text is not in a supported language (English), so it cannot be assessed",
+    "no english": "no assessable English content ({odd} of {n} clauses are not in English)",
+    "no content": "no substantive content (no sentence-like clause in the body)",
+    "some foreign": "{odd} of {n} clauses are not in English and were not scored",
+    "repetitive": "repetitive text",
+    "generic": "only {n} specific content word(s): generic comment discounted",
+    "no body": "no substantive body to assess relevance",
+    "below floor": "relevance {rel:.2f} (margin {margin:+.3f}) is below floor: not rewarded",
+    "partial": "relevance {rel:.2f} partially gates the reward ({gate:.2f})",
+}
+ADMISSION = {
+    "copy": "not added: duplicate of {of}",
+    "quality": "not added: no substantive content",
+    "gate": "not added: off-topic",
+    "share": "not added: mostly off-topic ({share:.0%} of the content is on-topic)",
+    "added": "added to corpus",
+}
+VERDICTS = ("Restates the article", "Copy of an existing comment", "Not assessable", "No clear statement", "Off-topic", "New and relevant", "Too general", "Partly new", "Already said")

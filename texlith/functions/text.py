@@ -86,9 +86,14 @@ def stopword_share(text: Column) -> Column:
     return share(F.size(F.filter(words(text), lambda w: w.isin(C.STOPWORDS))), F.size(words(text)))
 
 
+def flat(text: Column) -> Column:
+    """The folded text with runs of other signs as one blank."""
+    return F.trim(F.regexp_replace(fold(text), "[^a-z0-9]+", " "))
+
+
 def shingles(text: Column, n: int = 5) -> Column:
-    """Distinct character n-grams of the folded text with runs of other signs as one blank; a short text is its own."""
-    norm = F.trim(F.regexp_replace(fold(text), "[^a-z0-9]+", " "))
+    """Distinct character n-grams of the flat text; a short text is its own."""
+    norm = flat(text)
     grams = F.regexp_extract_all(norm, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))
     return F.when(F.length(norm) <= n, F.array(norm)).otherwise(F.array_distinct(grams))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from texlith.functions import constants as C
 from texlith.functions import text as T
 from texlith.functions.scalars import normal_cdf
-from texlith.operators import calibration, lexical, relevance, similarity
+from texlith.operators import calibration, copies, lexical, relevance, similarity
 from texlith.plans import scorer
 from texlith.sources.submissions import replayable
 
@@ -244,33 +244,20 @@ nb AS (SELECT id, count(*) AS n FROM b GROUP BY 1), p AS (SELECT d.id AS doc_id,
 c AS (SELECT doc_id, item_id, common, common / least(nd.n, nb.n) AS held FROM p JOIN nd ON nd.id = doc_id JOIN nb ON nb.id = item_id)"""
 
 
-def _exploded(docs: DataFrame, id_: str) -> DataFrame:
-    s = T.once(docs.select(id_, "text"), s=T.shingles(F.col("text")))
-    return s.select(id_, F.size("s").alias(f"n_{id_}"), F.explode("s").alias("sh"))
-
-
 def _contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared shingles by an equi-join; only the pair counts go on."""
-    d, b = _exploded(_docs(spark, sf_dir), "doc_id"), _exploded(table(spark, sf_dir, "benchmark"), "item_id")
-    pairs = d.join(b, "sh").groupBy("doc_id", "item_id", "n_doc_id", "n_item_id").agg(F.count("*").alias("common"))
-    return pairs.select("doc_id", "item_id", "common", (F.col("common") / F.least("n_doc_id", "n_item_id")).alias("held"))
+    return copies.contained(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 @query(_CONTAINED + " SELECT doc_id, item_id, common, round(held, 9) AS held FROM c WHERE held >= 0.6")
 def shingle_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _contained(spark, sf_dir).where("held >= 0.6").withColumn("held", F.round("held", 9))
+    return _contained(spark, sf_dir).select("doc_id", "item_id", "common", F.round("held", 9).alias("held"))
 
 
 @query(_CONTAINED + """, h AS (SELECT * FROM c WHERE held >= 0.6), u AS (SELECT doc_id, count(DISTINCT sh) AS copied FROM h JOIN b ON b.id = item_id JOIN d ON d.id = doc_id AND d.sh = b.sh GROUP BY 1),
 a AS (SELECT doc_id, arg_max(item_id, held * 1000000 - item_id / 1000000.0) AS of_item FROM h GROUP BY 1)
 SELECT u.doc_id, of_item, round(copied / nd.n, 9) AS share, copied / nd.n >= 0.5 AS is_copy FROM u JOIN a USING (doc_id) JOIN nd ON nd.id = u.doc_id""".replace(", sh) AS", ", b.sh) AS").replace("DISTINCT sh", "DISTINCT b.sh"))
 def near_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, b = _exploded(_docs(spark, sf_dir), "doc_id"), _exploded(table(spark, sf_dir, "benchmark"), "item_id")
-    held = _contained(spark, sf_dir).where("held >= 0.6").select("doc_id", "item_id", "held")
-    copied = d.join(b, "sh").join(held.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "n_doc_id").agg(F.countDistinct("sh").alias("copied"))
-    best = held.groupBy("doc_id").agg(F.max(F.struct(F.col("held"), (-F.col("item_id")).alias("back"))).alias("m")).select("doc_id", (-F.col("m.back")).alias("of_item"))
-    part = F.col("copied") / F.col("n_doc_id")
-    return copied.join(best, "doc_id").select("doc_id", "of_item", F.round(part, 9).alias("share"), (part >= 0.5).alias("is_copy"))
+    return copies.copies(_contained(spark, sf_dir)).withColumn("share", F.round("share", 9))
 
 
 @query("""WITH c AS (SELECT event_type AS category, count(*) AS n FROM events GROUP BY 1), t AS (SELECT sum(n) + count(*) AS t FROM c), p AS (SELECT category, (n + 1) / t AS p FROM c, t)
