@@ -318,7 +318,7 @@ def fisher_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The learned gate: projections on the shrunken direction, relative to the boundary's band."""
     v = _labelled(spark, sf_dir)
     p = relevance.projections(v, relevance.discriminant(v))
-    at = calibration.equal_error_boundary(p).crossJoin(p.where("positive").agg(F.median("p").alias("mid")))
+    at = calibration.equal_error_boundary(p).crossJoin(calibration.median(p.where("positive"), "p", name="mid"))
     both = p.crossJoin(F.broadcast(at)).withColumn("width", F.greatest(F.col("mid") - F.col("boundary"), F.lit(1e-6)))
     rel = F.least(F.greatest((F.col("p") - F.col("boundary") + 0.2 * F.col("width")) / (0.4 * F.col("width")), F.lit(0.0)), F.lit(1.0))
     return both.select("id", "positive", "p", rel.alias("relevance"), (rel * rel * (3 - 2 * rel)).alias("gate"))
@@ -345,7 +345,8 @@ def topic_margin_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_TOPIC + " SELECT median(margin) AS on_topic_margin, count(*) AS n FROM m")
 def topic_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _margins(spark, sf_dir).agg(F.median("margin").alias("on_topic_margin"), F.count("*").alias("n"))
+    margins = _margins(spark, sf_dir)
+    return calibration.median(margins, "margin", name="on_topic_margin").crossJoin(margins.agg(F.count("*").alias("n")))
 
 
 # evaluation
