@@ -10,7 +10,7 @@ from texlith.llm._common import written
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language; texts without a letter go. Learns from all rows that have a language."""
+    """Rows whose text is in a language that was learned from all rows with one; texts without a letter, and those that no language makes likelier than chance, go."""
     return language_id.keep_identified(docs)
 
 

@@ -85,3 +85,6 @@ ADMISSION = {
     "added": "added to corpus",
 }
 VERDICTS = ("Restates the article", "Copy of an existing comment", "Not assessable", "No clear statement", "Off-topic", "New and relevant", "Too general", "Partly new", "Already said")
+
+# Fixed values. Scores that evaluation asks for.
+NOVEL_MIN, NOT_NOVEL_MAX, OFF_TOPIC_MAX, LOOSE = 0.6, 0.25, 0.01, 0.05

@@ -11,8 +11,8 @@ from texlith.functions import constants as C
 from texlith.functions import text as T
 from texlith.functions.scalars import normal_cdf
 from texlith.operators import calibration, copies, lexical, relevance, similarity
-from texlith.plans import scorer
-from texlith.sources.submissions import replayable
+from texlith.plans import evaluation, scorer
+from texlith.sources.submissions import error, replayable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -382,6 +382,40 @@ def auc_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.auc(_judged(spark, sf_dir).select(F.col("s").alias("p"), (F.col("quality") == 1).alias("positive"))).select(F.round("auc", 9).alias("auc"))
 
 
+@query(f"WITH {_JUDGED} SELECT quality AS label, doc_id, s AS score, CAST(row_number() OVER (ORDER BY quality, s DESC, doc_id) AS INTEGER) AS rank FROM j WHERE s < 1000 QUALIFY rank <= 25")
+def eval_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst failures: by label, the highest scores first."""
+    failed = _judged(spark, sf_dir).where("s < 1000").select(F.col("quality").alias("label"), F.col("doc_id").alias("id"), F.col("s").alias("score"))
+    return evaluation.worst(failed, 25).withColumnRenamed("id", "doc_id")
+
+
+@query("SELECT count(*) AS shared FROM (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL INTERSECT SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 1)")
+def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts two splits share; a held-out split must share none."""
+    docs = _docs(spark, sf_dir)
+    return evaluation.overlap(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "text")
+
+
+_TOK = r"list_transform(regexp_extract_all(text, '\p{L}[\p{L}\p{N}\p{M}_''/]*'), lambda w: lower(w))"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {_TOK} AS ws, regexp_replace(text, '\P{{L}}', '', 'g') AS l FROM documents), f AS (SELECT *, len(list_filter(ws, lambda w: list_contains({_sql_list(C.FOREIGN_WORDS)}, strip_accents(w)))) AS foreign_words,
+len(list_filter(ws, lambda w: list_contains({_STOP}, w))) AS stops FROM t)
+SELECT doc_id, length(regexp_replace(l, '[A-Za-z]', '', 'g')) > 0.3 * length(l) AND length(l) > 0 OR foreign_words >= 2 AND foreign_words > stops AS looks_foreign FROM f""")
+def language_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", T.looks_foreign(F.col("text")).alias("looks_foreign"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, substr(text, 1, 130) AS headline, text AS body, CASE role WHEN 'user' THEN 'support' WHEN 'assistant' THEN 'oppose' ELSE role END AS stance FROM conversations)
+SELECT conv_id, turn, CASE WHEN headline = '' THEN 'headline is required' WHEN length(headline) > 120 THEN 'headline is longer than 120' WHEN NOT (length(body) BETWEEN 20 AND 2000) THEN 'body needs 20 to 2000 characters'
+WHEN stance NOT IN ('support', 'oppose', 'mixed', 'undecided') THEN 'unknown stance' END AS error FROM s""")
+def submission_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with turns as submissions; null if nothing is."""
+    stance = F.when(F.col("role") == "user", "support").when(F.col("role") == "assistant", "oppose").otherwise(F.col("role"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 130).alias("headline"), F.col("text").alias("body"), stance.alias("stance"))
+    return rows.select("conv_id", "turn", error(F.col("headline"), F.col("body"), F.col("stance")).alias("error"))
+
+
 # the whole engine
 
 

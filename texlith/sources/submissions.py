@@ -12,42 +12,89 @@ SUBMISSION = "id string, stance string, headline string, body string"
 SAVED = SUBMISSION + ", score double, admitted boolean, submitted_at string"
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document a file; a broken one raises with Spark's message naming the file."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+class DataError(RuntimeError):
+    """A file that can't be read as what it should hold; the message names it."""
+
+
+def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(v): the file's JSON document by a schema. A file that is missing, broken, or of another shape at its top raises."""
+    try:
+        whole = spark.read.text(path, wholetext=True)
+        found = whole.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("v"), F.substring(F.trim("value"), 1, 1).alias("top")).collect()
+    except Exception as e:
+        raise DataError(f"{path} is unreadable: {str(e).splitlines()[0][:200]}") from None
+    top = "[" if schema.startswith("array") else "{"
+    if len(found) != 1 or found[0]["v"] is None or found[0]["top"] != top:
+        raise DataError(f"{path} must hold a JSON {'list' if top == '[' else 'object'}")
+    return spark.createDataFrame([(found[0]["v"],)], f"v {schema}")
+
+
+_ROW = "struct<id:string,stance:string,headline:string,body:string>"
+
+
+def _valid(rows: DataFrame, path: str) -> DataFrame:
+    """rows normalised; the first that is no valid submission raises."""
+    checked = validated(rows)
+    bad = checked.where("error is not null").select("id", "error").first()
+    if bad is not None:
+        raise DataError(f"{path} item {bad['id']}: {bad['error']}")
+    return checked.drop("error")
 
 
 def read_article(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, "id string, title string, text string")
+    """(id, title, text): one row; a field that is missing, or a text that is blank or too long, raises."""
+    rows = _parsed(spark, path, "struct<id:string,title:string,text:string>").select("v.*")
+    r = rows.select("*", article_error(F.col("title"), F.col("text")).alias("error")).first()
+    missing = [k for k in ("id", "title", "text") if r[k] is None]
+    if missing or r["error"]:
+        raise DataError(f"{path}: {'missing ' + ', '.join(missing) if missing else r['error']}")
+    return rows
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, SUBMISSION)
+    return _valid(_parsed(spark, path, f"array<{_ROW}>").select(F.inline("v")), path)
 
 
 def read_anchors(spark: SparkSession, path: str) -> DataFrame:
-    """A list of strings as rows (anchor)."""
-    whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(F.explode(F.from_json("value", "array<string>")).alias("anchor"))
+    """A list of strings as rows (anchor); none, or a blank one, raises."""
+    rows = _parsed(spark, path, "array<string>").select(F.explode("v").alias("anchor"))
+    if rows.isEmpty() or not rows.where("anchor is null or trim(anchor) = ''").isEmpty():
+        raise DataError(f"{path} must hold strings that aren't blank")
+    return rows
 
 
 def read_negatives(spark: SparkSession, path: str) -> DataFrame:
-    items = _read(spark, path, "items array<struct<id:string,topic:string,headline:string,body:string,stance:string>>")
-    return items.select(F.inline("items"))
+    rows = _parsed(spark, path, "struct<items:array<struct<id:string,topic:string,headline:string,body:string,stance:string>>>")
+    if rows.first()["v"]["items"] is None:
+        raise DataError(f"{path} must have a list of items")
+    return _valid(rows.select(F.inline("v.items")), path)
 
 
 def read_probes(spark: SparkSession, path: str) -> DataFrame:
     """Rows (group, id, ...) of a map of lists; groups that begin with _ are notes."""
-    whole = spark.read.option("wholetext", True).text(path)
-    groups = whole.select(F.explode(F.map_filter(F.from_json("value", "map<string,string>"), lambda k, v: ~k.startswith("_"))).alias("group", "items"))
-    return groups.select("group", F.inline(F.from_json("items", f"array<struct<{SUBMISSION.replace(' string', ':string').replace(', ', ',')}>>")))
+    groups = _parsed(spark, path, "map<string,string>").select(F.explode(F.map_filter("v", lambda k, x: ~k.startswith("_"))).alias("group", "items"))
+    lists = groups.select("group", F.from_json("items", f"array<{_ROW}>").alias("items"))
+    odd = lists.where("items is null").first()
+    if odd is not None:
+        raise DataError(f"{path} group {odd['group']} must be a list")
+    rows = lists.select("group", F.inline("items"))
+    for r in groups.select("group").collect():
+        _valid(rows.where(F.col("group") == r["group"]).drop("group"), f"{path}[{r['group']}]")
+    return rows
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (stance, expect, label, headline, body)."""
-    whole = spark.read.option("wholetext", True).text(path)
-    groups = whole.select(F.explode(F.from_json("value", "map<string,array<struct<id:string,expect:string,label:string,headline:string,body:string>>>")).alias("stance", "items"))
-    return groups.select("stance", F.inline("items"))
+    """Rows (stance, id, expect, label, headline, body): two of each stance, with a label and a known expectation."""
+    groups = _parsed(spark, path, "map<string,string>").select(F.explode(F.map_filter("v", lambda k, x: ~k.startswith("_"))).alias("stance", "items"))
+    lists = groups.select("stance", F.from_json("items", "array<struct<id:string,expect:string,label:string,headline:string,body:string>>").alias("items"))
+    held = {r["stance"]: r["items"] for r in lists.collect()}
+    if sorted(held) != sorted(C.STANCES) or any(not x or len(x) != 2 for x in held.values()):
+        raise DataError(f"{path} must have two examples of each of {', '.join(C.STANCES)}")
+    rows = lists.select("stance", F.inline("items"))
+    if not rows.where(~F.coalesce(F.col("expect").isin("novel", "common", "off_topic"), F.lit(False)) | (F.coalesce("label", F.lit("")) == "")).isEmpty():
+        raise DataError(f"{path}: an example needs a label and a known expectation")
+    _valid(rows.select("id", "stance", "headline", "body"), path)
+    return rows
 
 
 def error(headline: Column, body: Column, stance: Column, id_: Column | None = None) -> Column:
