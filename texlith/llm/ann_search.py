@@ -26,7 +26,7 @@ class CollisionIndex:
     threshold lies below that share of the directions by `margin`.
     """
 
-    def __init__(self, points: np.ndarray, directions: int = 64, width: float = 2.0, margin: float = 0.0, seed: int = 11):
+    def __init__(self, points: np.ndarray, directions: int = 32, width: float = 2.0, margin: float = 0.0, seed: int = 11):
         self.points, self.width = points, width
         self.axes = np.random.default_rng(seed).standard_normal((points.shape[1], directions))
         spread = points @ self.axes
@@ -38,7 +38,7 @@ class CollisionIndex:
         self.base = len(points) * np.arange(directions)
         self.threshold = int(np.ceil((2 * NormalDist().cdf(width / 2) - 1 - margin) * directions))
 
-    def candidates(self, query: np.ndarray, k: int, enough: int, verify, start: float = 0.8, factor: float = 1.12, sure: float = 0.8) -> tuple[np.ndarray, np.ndarray]:
+    def candidates(self, query: np.ndarray, k: int, enough: int, verify, start: float = 0.8, factor: float = 1.25, sure: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
         """Verified rows and their distances from `query`. verify(rows) gives distances."""
         n = len(self.points)
         centre = query @ self.axes
