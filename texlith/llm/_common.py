@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import os
 import tempfile
@@ -13,12 +14,13 @@ from functools import lru_cache, wraps
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a worker turns into arrays at once.
-SLICE_BYTES = 1 << 21
-#: The same for words, whose arrays take about 50 bytes for each byte of text.
+#: Bytes of text that a worker turns into arrays at once, which take about 50 bytes for each byte of text.
+SLICE_BYTES = 1 << 19
+#: The same for words.
 WORD_BYTES = 1 << 19
 
 _KEY, _ODD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
@@ -233,8 +235,23 @@ def as_texts(column: pd.Series) -> list[str]:
     return [x if isinstance(x, str) else "" for x in column]
 
 
-def summed(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], np.ndarray], cells: int, step: int = 1 << 16) -> np.ndarray:
-    """The sum over tasks of partial(rows), an array of `cells` counts: fixed size, whatever the input.
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a task's function of rows, that gives back what it freed: a worker stays for later tasks, and memory that its allocators keep would add to theirs and the JVM's."""
+
+    @wraps(run)
+    def call(rows: Iterator) -> Iterator:
+        try:
+            yield from run(rows)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+                trim(0)
+
+    return call
+
+
+def summed(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], np.ndarray], cells: int, step: int = 1 << 16, kind: type = np.int64) -> np.ndarray:
+    """The sum over tasks of partial(rows), an array of `cells` counts (of `kind`; bool: whether there are any): fixed size, whatever the input.
 
     Each task sends its array in chunks; a chunk's arrays are added one after another as they stream in,
     so that no task holds more than one array a chunk.
@@ -247,12 +264,14 @@ def summed(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], np.ndarray
     def unpacked(row) -> np.ndarray:
         return np.frombuffer(row.cells, row.kind).astype(np.int64)
 
+    @released
     def emit(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = partial(rows)
         for at in range(0, cells, step):
             if a[at : at + step].any():
                 yield packed(at // step, a[at : at + step])
 
+    @released
     def add(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for batch in rows:
@@ -261,9 +280,9 @@ def summed(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], np.ndarray
         for chunk, a in held.items():
             yield packed(chunk, a)
 
-    kind = "chunk int, kind string, cells binary"
-    total = np.zeros(cells, np.int64)
-    for row in df.mapInPandas(emit, kind).repartition(-(-cells // step), "chunk").mapInPandas(add, kind).collect():
+    schema = "chunk int, kind string, cells binary"
+    total = np.zeros(cells, kind)
+    for row in df.mapInPandas(emit, schema).repartition(-(-cells // step), "chunk").mapInPandas(add, schema).collect():
         a = unpacked(row)
         total[row.chunk * step : row.chunk * step + len(a)] = a
     return total

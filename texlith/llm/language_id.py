@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from texlith.llm._common import as_texts, slices, summed
+from texlith.llm._common import as_texts, released, slices, summed
 
 UNKNOWN = "und"
 _SLICE_CHARS = 1 << 19
@@ -154,6 +154,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             names, sure = score_texts(shared.value, as_texts(batch["text"]))
@@ -177,6 +178,7 @@ def keep_identified(docs: DataFrame, min_letters: int = 20) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
+    @released
     def kept(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(identified(shared.value, as_texts(batch), min_letters), dtype=bool)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from texlith.llm._common import as_texts, cleaned, written
+from texlith.llm._common import as_texts, cleaned, released, written
 from texlith.llm.bpe import loaded
 
 _RANK_BITS = 44
@@ -84,6 +84,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> D
     """
     spark = docs.sparkSession
 
+    @released
     def pieces(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)
         end = np.array([end_id], np.int32)
@@ -113,6 +114,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> D
     slots = plan(histogram, capacity).sort_values(["length", "first"])
     shared = spark.sparkContext.broadcast((before, slots["length"].to_numpy() << _RANK_BITS | slots["first"].to_numpy(), {c: slots[c].to_numpy() for c in slots}))
 
+    @released
     def placed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before, keys, slot = shared.value
         for batch in rows:

@@ -25,18 +25,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texlith.llm._common import WORD_BYTES, as_bytes, cleaned, free, held, mixed, slices, summed, word_hashes, written
+from texlith.llm._common import WORD_BYTES, as_bytes, cleaned, free, held, mixed, released, slices, summed, word_hashes, written
 from texlith.llm.components import connected_components
 
 WORDS = 5
 PERCENT = 80
 CELLS = 1 << 22
+#: So many of them the driver works on at once.
+_STEP = 1 << 16
 _PROBE, _INDEX = 1, 2
 _CLASS_SIZE = 16
 _OFTEN = 128
-#: Least and most rounds of comparisons with pivots: they go on while pairs that are still open outnumber the signatures.
-#: What is open after them is compared pair by pair.
-_TURNS, _MOST_TURNS = 2, 6
+#: Least and most rounds of comparisons with pivots: they go on while pairs that are still open outnumber the signatures,
+#: and the last round left no more than that share of those before it. What is open after them is compared pair by pair.
+_TURNS, _MOST_TURNS, _LEFT = 2, 6, 0.95
 #: Least and most bits of the bitmaps that the last join holds against each other; between them, four to eight a shingle.
 _SHORT, _LONG = 256, 8192
 #: So many of its smallest open signatures a set carries into the last join, to meet each other set at one of them only.
@@ -84,9 +86,12 @@ def frequency_classes(counts: np.ndarray) -> np.ndarray:
     """A class for each cell, below _OFTEN and by its count if that is what chance gives, else by the bits of what is over that."""
     mean = counts.mean()
     chance = 6 * np.sqrt(mean) + 8
-    over = counts - (mean + chance)
-    rare = np.clip((over / chance + 2) / 2 * (_OFTEN - 1), 0, _OFTEN - 1)
-    return np.where(over > 0, _OFTEN - 1 + np.ceil(np.log2(np.maximum(over, 1) + 1)), rare).astype(np.uint8)
+    out = np.zeros(len(counts), np.uint8)
+    for at in range(0, len(counts), _STEP):
+        over = counts[at : at + _STEP] - (mean + chance)
+        rare = np.clip((over / chance + 2) / 2 * (_OFTEN - 1), 0, _OFTEN - 1)
+        out[at : at + _STEP] = np.where(over > 0, _OFTEN - 1 + np.ceil(np.log2(np.maximum(over, 1) + 1)), rare).astype(np.uint8)
+    return out
 
 
 def _level(n: int) -> int:
@@ -158,6 +163,7 @@ def apart_at_least(x: bytes, y: bytes) -> int:
 def _nodes(docs: DataFrame) -> DataFrame:
     """(doc_id, key, n, set_id, parity, short) for each row."""
 
+    @released
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in rows:
             found = [(len(s), set_id(s), parity(s), short_parity(s)) for s in shingle_sets(as_bytes(batch["text"]))]
@@ -208,6 +214,7 @@ def _buckets(docs: DataFrame, classes, parts: int, percent: int) -> DataFrame:
             at += k * np.dtype(kind).itemsize
         return tuple(out)
 
+    @released
     def emit(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, size = [], 0
 
@@ -259,6 +266,7 @@ def _buckets(docs: DataFrame, classes, parts: int, percent: int) -> DataFrame:
 def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Those of pairs(a, b) whose bitmaps allow a link."""
 
+    @released
     def kept(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in rows:
             both = (batch["na"] + batch["nb"]) * (100 - percent)
@@ -285,6 +293,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
             total[cells(batch["key"])] = 1
         return total
 
+    @released
     def remade(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in rows:
             at = cells(batch["key"])
@@ -292,6 +301,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
             made = [(k, s.tobytes()) for k, s in zip(some["key"], shingle_sets(as_bytes(some["text"])), strict=True)]
             yield pd.DataFrame(made, columns=["key", "shingles"])
 
+    @released
     def linked(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in rows:
             keep = []
@@ -305,7 +315,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
     with held(_plausible(pairs, reps, percent)) as near:
         ids = near.select(F.col("a").alias("set_id")).unionAll(near.select(F.col("b").alias("set_id"))).distinct()
         with held(ids.join(reps, "set_id").select("set_id", F.col("first.key").alias("key"))) as wanted:
-            bits = docs.sparkSession.sparkContext.broadcast(np.packbits(summed(wanted.select("key"), marked, CELLS) > 0))
+            bits = docs.sparkSession.sparkContext.broadcast(np.packbits(summed(wanted.select("key"), marked, CELLS, kind=bool)))
             sets = docs.select("key", "text").mapInPandas(remade, "key long, shingles binary").join(wanted, "key").select("set_id", "shingles")
             with held(sets.dropDuplicates(["set_id"]), "none") as whole:
                 of = lambda k, s: whole.select(F.col("set_id").alias(k), F.col("shingles").alias(s))
@@ -328,6 +338,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     counts = summed(docs.select("text"), _sketch, CELLS)
     classes = spark.sparkContext.broadcast(frequency_classes(counts))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum() // 12_000_000) + 1)
+    del counts  # 33 MB of the driver
     placed = written(_buckets(docs.select("text"), classes, parts, percent).withColumn("label", F.col("set_id")))
 
     close = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and x.label <> y.label"
@@ -363,15 +374,20 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         old, placed = placed, written(fresh.join(still.groupBy("mark0", "mark1").agg(F.min("sig").alias("sig")), "sig", "left_semi"))
         free(old, fresh, reached)
 
-    def open_pairs() -> bool:
-        """Whether pairs of sets of one signature in different components are more than the signatures' rows."""
+    def open_pairs() -> tuple[float, float]:
+        """The signatures' rows, and pairs of sets of one signature in different components."""
         each = placed.groupBy("sig", "label").agg(F.count("*").cast("double").alias("n")).groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        rows, pairs = each.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-        return pairs > 2 * rows
+        return tuple(each.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first())
 
+    before = float("inf")
     for turn in range(_MOST_TURNS):
-        if placed.isEmpty() or turn >= _TURNS and not open_pairs():
+        if placed.isEmpty():
             break
+        if turn >= _TURNS - 1:
+            rows, pairs = open_pairs()
+            if turn >= _TURNS and (pairs <= 2 * rows or pairs > _LEFT * before):
+                break
+            before = pairs
         drawn = F.struct(F.xxhash64("set_id", F.lit(turn)).alias("draw"), "set_id", "n", "label")
         pivots = placed.groupBy("sig").agg(F.min(drawn).alias("p")).select("sig", "p.set_id", "p.n", "p.label")
         pivots = written(pivots)
